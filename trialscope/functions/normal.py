@@ -53,7 +53,15 @@ def _horner(coefs, x):
 
 
 def qnorm(p, mean=0.0, sd=1.0) -> Column:
-    """Standard normal quantile (AS 241); NULL outside (0, 1), +-inf at 0/1 like R."""
+    """Standard normal quantile (AS 241); NULL outside (0, 1), +-inf at 0/1 like R.
+
+    Given a column name, the expression is parsed from SQL text in one call (cheaper to
+    build than ~300 Column objects); given a Column, it is built in place.  Stage complex
+    inputs in their own projection first: the input is referenced many times.
+    """
+    if isinstance(p, str):
+        z = F.expr(qnorm_sql(f"`{p}`"))
+        return z if (mean == 0.0 and sd == 1.0) else _col(mean) + _col(sd) * z
     p = _col(p)
     q = p - F.lit(0.5)
     r_c = F.lit(0.180625) - q * q
@@ -74,7 +82,9 @@ def qnorm(p, mean=0.0, sd=1.0) -> Column:
 
 
 def pnorm(x, mean=0.0, sd=1.0) -> Column:
-    """Standard normal CDF (Hart 5666), lower tail."""
+    """Standard normal CDF (Hart 5666), lower tail; a column name is parsed from SQL text."""
+    if isinstance(x, str) and mean == 0.0 and sd == 1.0:
+        return F.expr(pnorm_sql(f"`{x}`"))
     x = _col(x)
     if not (mean == 0.0 and sd == 1.0):
         x = (x - _col(mean)) / _col(sd)

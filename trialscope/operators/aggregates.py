@@ -208,8 +208,8 @@ def interval_bands(df: DataFrame, col: str, keys: Sequence[str], widths=(0.5, 0.
     """Median and equal-tailed intervals per group, one row per (group, width)."""
     ps = [0.5] + [p for w in widths for p in ((1 - w) / 2, (1 + w) / 2)]
     agg = df.groupBy(*keys).agg(F.percentile(col, ps).alias("_q"))
-    parts = [agg.select(*keys, F.col("_q")[0].alias(col), F.col("_q")[1 + 2 * i].alias(".lower"),
-                        F.col("_q")[2 + 2 * i].alias(".upper"), F.lit(w).alias(".width"))
+    parts = [agg.select(*keys, F.col("_q")[0].alias(col), F.col("_q")[1 + 2 * i].alias("lower"),
+                        F.col("_q")[2 + 2 * i].alias("upper"), F.lit(w).alias("width"))
              for i, w in enumerate(widths)]
     out = parts[0]
     for p in parts[1:]:
