@@ -195,26 +195,30 @@ def collect_first(df: DataFrame, keys: Sequence[str], order: Sequence, col: str,
             .select(*keys, F.transform("_s", lambda s: s[col]).alias(col)))
 
 
-# D22 -----------------------------------------------------------------------
+# D22 ------------------------------------------------------------------------
 def quantiles(df: DataFrame, col: str, ps: Sequence[float], keys: Sequence[str] = (), prefix: str = "q") -> DataFrame:
-    """Exact type-7 quantiles (R default) per group."""
-    arr = F.percentile(col, list(ps))
-    out = df.groupBy(*keys).agg(arr.alias("_q"))
-    return out.select(*keys, *[F.col("_q")[i].alias(f"{prefix}{int(round(p * 1000)):03d}") for i, p in enumerate(ps)])
+    """Exact type-7 quantiles (R default) per group, one column per probability.
+
+    Computed from the (group, value) frequency table, so no group is ever buffered whole.
+    """
+    from trialscope.operators.draws import exact_quantiles
+    q = exact_quantiles(df, col, ps, keys)
+    return q.groupBy(*keys).agg(*[F.max(F.when(F.col("p") == float(p), F.col("q"))).alias(f"{prefix}{int(round(p * 1000)):03d}")
+                                  for p in ps])
 
 
 # D23 -----------------------------------------------------------------------
 def interval_bands(df: DataFrame, col: str, keys: Sequence[str], widths=(0.5, 0.8, 0.95)) -> DataFrame:
     """Median and equal-tailed intervals per group, one row per (group, width)."""
-    ps = [0.5] + [p for w in widths for p in ((1 - w) / 2, (1 + w) / 2)]
-    agg = df.groupBy(*keys).agg(F.percentile(col, ps).alias("_q"))
-    parts = [agg.select(*keys, F.col("_q")[0].alias(col), F.col("_q")[1 + 2 * i].alias("lower"),
-                        F.col("_q")[2 + 2 * i].alias("upper"), F.lit(w).alias("width"))
-             for i, w in enumerate(widths)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    from trialscope.operators.draws import exact_quantiles
+    ps = sorted({0.5, *[p for w in widths for p in ((1 - w) / 2, (1 + w) / 2)]})
+    q = exact_quantiles(df, col, ps, keys)
+    wide = q.groupBy(*keys).agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(f"_p{i}") for i, p in enumerate(ps)])
+    pos = {p: i for i, p in enumerate(ps)}
+    bands = F.array(*[F.struct(F.col(f"_p{pos[(1 - w) / 2]}").alias("lower"), F.col(f"_p{pos[(1 + w) / 2]}").alias("upper"),
+                               F.lit(w).alias("width")) for w in widths])
+    return (wide.select(*keys, F.col(f"_p{pos[0.5]}").alias(col), F.explode(bands).alias("_b"))
+            .select(*keys, col, "_b.lower", "_b.upper", "_b.width"))
 
 
 # D24 -----------------------------------------------------------------------

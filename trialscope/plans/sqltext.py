@@ -159,3 +159,65 @@ cte("strategies", f"""
 cte("draws", """
   SELECT vec_id AS draw, label AS chain, CAST(t.i - 1 AS INT) AS term, CAST(embedding[t.i] AS DOUBLE) AS beta
   FROM embeddings, LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS i) t""")
+
+CELL = ("((CASE condition WHEN 'densities' THEN 0 WHEN 'intervals' THEN 1 WHEN 'HOPs' THEN 2 ELSE 3 END)*4 "
+        "+ CAST(sd_diff = 15 AS INT)*2 + CAST(means AS INT))")
+
+
+def u_sql(*cols: str, seed: int = 1234) -> str:
+    """Hashed uniform on (0, 1), as ``draws.hash_uniform``."""
+    parts = " || '|' || ".join(f"CAST({c} AS VARCHAR)" for c in cols)
+    return f"((CAST('0x' || substr(md5({parts} || '|{seed}'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)"
+
+
+cte("grid_llo", """
+  SELECT g.condition, g.sd_diff, g.means, x.lo_ground_truth
+  FROM (SELECT DISTINCT condition, sd_diff, means FROM model) g, (SELECT unnest([0.0, 1.0]) AS lo_ground_truth) x""", ["model"])
+
+cte("fitted_llo", f"""
+  SELECT g.condition, g.sd_diff, g.means, g.lo_ground_truth, d.draw, sum(g.x * d.beta) AS value
+  FROM (SELECT condition, sd_diff, means, lo_ground_truth, 2*{CELL} AS term, 1.0::DOUBLE AS x FROM grid_llo
+        UNION ALL SELECT condition, sd_diff, means, lo_ground_truth, 2*{CELL}+1 AS term, lo_ground_truth AS x FROM grid_llo) g
+  JOIN draws d USING (term)
+  GROUP BY g.condition, g.sd_diff, g.means, g.lo_ground_truth, d.draw""", ["grid_llo", "draws"])
+
+cte("grid_dec", """
+  SELECT g.condition, g.sd_diff, g.means, x.evidence
+  FROM (SELECT DISTINCT condition, sd_diff, means FROM model) g, (SELECT unnest([0.0, 1.0]) AS evidence) x""", ["model"])
+
+cte("fitted_dec", f"""
+  SELECT g.condition, g.sd_diff, g.means, g.evidence, d.draw, sum(g.x * d.beta) AS value
+  FROM (SELECT condition, sd_diff, means, evidence, 32+2*{CELL} AS term, 1.0::DOUBLE AS x FROM grid_dec
+        UNION ALL SELECT condition, sd_diff, means, evidence, 32+2*{CELL}+1 AS term, evidence AS x FROM grid_dec) g
+  JOIN draws d USING (term)
+  GROUP BY g.condition, g.sd_diff, g.means, g.evidence, d.draw""", ["grid_dec", "draws"])
+
+cte("stats_dec", """
+  SELECT condition, sd_diff, means, draw,
+    max(value) FILTER (WHERE evidence = 1.0) - max(value) FILTER (WHERE evidence = 0.0) AS slope,
+    max(value) FILTER (WHERE evidence = 0.0) AS intercept
+  FROM fitted_dec GROUP BY condition, sd_diff, means, draw""", ["fitted_dec"])
+
+cte("psy_dec", """
+  SELECT *, CASE WHEN slope = 0 THEN NULL ELSE -intercept / slope END AS pse,
+         CASE WHEN slope = 0 THEN NULL ELSE ln(3.0) / slope END AS jnd
+  FROM stats_dec""", ["stats_dec"])
+
+cte("draws100", """
+  SELECT * FROM draws WHERE draw IN (SELECT draw FROM (SELECT DISTINCT draw FROM draws)
+    ORDER BY md5(CAST(draw AS VARCHAR) || '|1234') LIMIT 100)""", ["draws"])
+
+cte("pred_trials", f"""
+  SELECT m.event_id, m.lo_p_sup, d.draw, sum(m.x * d.beta) AS mu
+  FROM (SELECT event_id, lo_p_sup, 2*{CELL} AS term, 1.0::DOUBLE AS x FROM model
+        UNION ALL SELECT event_id, lo_p_sup, 2*{CELL}+1 AS term, lo_ground_truth AS x FROM model) m
+  JOIN draws100 d USING (term)
+  GROUP BY m.event_id, m.lo_p_sup, d.draw""", ["model", "draws100"])
+
+cte("pred_trials_u", f"""
+  SELECT *, {u_sql('event_id', 'draw')} AS u FROM pred_trials""", ["pred_trials"])
+
+cte("pred_trials_y", f"""
+  SELECT event_id, lo_p_sup, draw, mu, mu + {qnorm_sql('u')} AS prediction,
+         -0.5*(lo_p_sup - mu)*(lo_p_sup - mu) - 0.9189385332046727 AS ll
+  FROM pred_trials_u""", ["pred_trials_u"])
