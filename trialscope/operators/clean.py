@@ -17,8 +17,9 @@ from trialscope.functions.normal import _col, qlogis
 
 
 def if_na(cond: Column, yes, no) -> Column:
-    """R ``if_else``: a NULL condition gives NULL, not the else branch."""
-    return F.when(cond.isNull(), None).when(cond, _col(yes)).otherwise(_col(no))
+    """R ``if_else``: a NULL condition gives NULL, not the else branch (values, or Columns)."""
+    v = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.when(cond.isNull(), None).when(cond, v(yes)).otherwise(v(no))
 
 
 # B1 ------------------------------------------------------------------------

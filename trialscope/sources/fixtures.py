@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trialscope.functions.normal import pnorm, qnorm
+from trialscope.functions.normal import with_pnorm, with_qnorm
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -59,9 +59,9 @@ def responses_from_events(events: DataFrame) -> DataFrame:
                  .when(F.col("event_type") == "error", -1)
                  .when(F.col("event_type").isin("purchase", "signup"), 1)
                  .otherwise(F.when(F.col("lv") >= 5, 1).otherwise(0)))
-    # qnorm is staged in its own projection: pnorm references its input ~20 times, and
-    # inlining the qnorm tree there would blow up analysis and generated code.
-    b = b.withColumn("_x", F.lit(math.sqrt(2.0)) * qnorm("ground_truth"))
+    # qnorm and pnorm are staged (shared subexpressions as columns): computed once per row.
+    b = with_qnorm(b, "ground_truth", "_z").withColumn("_x", F.lit(math.sqrt(2.0)) * F.col("_z"))
+    b = with_pnorm(b, "_x", "_p_with")
     return b.select(
         "event_id",
         F.col("user_id").alias("worker_id"),
@@ -75,7 +75,7 @@ def responses_from_events(events: DataFrame) -> DataFrame:
         F.when(F.col("value") < 100, -1.0).otherwise(2.25).alias("payoff"),
         F.lit(2.25).alias("award_value"),
         F.lit(0.5).alias("baseline"),
-        pnorm("_x").alias("p_award_with"),
+        F.col("_p_with").alias("p_award_with"),
         F.lit(0.5).alias("p_award_without"),
         (F.timestamp_diff("MICROSECOND", F.col("prev_ts"), F.col("ts")) / 1e6).alias("trial_dur"),
     )
