@@ -102,6 +102,23 @@ def exclusions(df: DataFrame, listed: Sequence = (), min_levels: int = 3, checks
     return q.select(worker, ex.alias("exclude"))
 
 
+def with_exclusions(df: DataFrame, listed: Sequence = (), min_levels: int = 3, worker: str = "worker_id") -> DataFrame:
+    """D10 + C1 in one pass: the exclusion flag as a window over each worker's trials.
+
+    The trial log is already hash-partitioned (and sorted) by worker, so the window adds
+    no shuffle, and no second scan / join of the per-worker table is needed.  The set of
+    distinct answers per worker is bounded by the answer scale (0-100 in halves).
+    """
+    w = Window.partitionBy(worker)
+    p = F.col("p_superiority")
+    failed = F.sum(B.failed_check().cast("int")).over(w)
+    levels = F.size(F.collect_set(p).over(w)) + F.max(p.isNull().cast("int")).over(w)
+    ex = (failed > 0) | (levels < min_levels)
+    if listed:
+        ex = ex | F.col(worker).isin(list(listed))
+    return df.withColumn("exclude", ex)
+
+
 # D11 -----------------------------------------------------------------------
 def exclusion_rates(df: DataFrame, keys: Sequence[str] = ("condition",), n_checks: int = 2) -> DataFrame:
     per_worker = (df.groupBy("worker_id", *keys)
@@ -327,9 +344,7 @@ def apply_exclusions(df: DataFrame, flags: DataFrame, keep_excluded: bool = True
 
 def overall_performance(responses: DataFrame, listed: Sequence = ()) -> DataFrame:
     """OP end to end: exclusions, checks removed, error and optimal decisions by condition x exclusion."""
-    t = B.op_trials(responses)
-    flags = exclusions(t, listed)
-    t = B.drop_checks(apply_exclusions(t, flags))
+    t = B.drop_checks(with_exclusions(B.op_trials(responses), listed))
     t = t.withColumns({"abs_err_p_sup": F.abs(F.col("p_superiority") - F.col("ground_truth") * 100),
                        "should_intervene": B.should_intervene()})
     t = t.withColumn("correct", B.correct())

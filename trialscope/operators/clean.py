@@ -330,9 +330,9 @@ def framed(trials: DataFrame) -> DataFrame:
 
 def model_table(responses: DataFrame, listed=(), keep_excluded: bool = False) -> DataFrame:
     """The modelling chain: clean, clamp to [.5, 99.5], log odds, centred trial, exclusions, no checks."""
-    from trialscope.operators.aggregates import apply_exclusions, exclusions
+    from trialscope.operators.aggregates import with_exclusions
     df = repair_decision(drop_missing(drop_practice(responses), "p_superiority"))
     df = df.withColumns({"means": means_shown(), "p_superiority": clamp("p_superiority")})
-    df = centre_trial(log_odds(df))
-    flags = exclusions(df, listed)
-    return drop_checks(apply_exclusions(df, flags, keep_excluded=keep_excluded))
+    df = with_exclusions(centre_trial(log_odds(df)), listed)
+    df = df if keep_excluded else df.filter(~F.col("exclude"))
+    return drop_checks(df)

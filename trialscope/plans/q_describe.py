@@ -33,9 +33,8 @@ def T(spark, sf):
 
 
 def OP(spark, sf):
-    """OP chain with exclusion flags joined, checks still in."""
-    t = B.op_trials(X.responses(spark, sf))
-    return D.apply_exclusions(t, D.exclusions(t))
+    """OP chain with exclusion flags (window over each worker's trials), checks still in."""
+    return D.with_exclusions(B.op_trials(X.responses(spark, sf)))
 
 
 def M(spark, sf):
@@ -305,7 +304,9 @@ def d33(spark, sf):
 # C -------------------------------------------------------------------------
 @query("C1_apply_exclusions", with_ctes("SELECT event_id, exclude FROM op_excl", "op_excl"))
 def c1(spark, sf):
-    return OP(spark, sf).select("event_id", "exclude")
+    """Per-worker flag table left-joined to the trials (the reference's two-step form)."""
+    t = B.op_trials(X.responses(spark, sf))
+    return D.apply_exclusions(t, D.exclusions(t)).select("event_id", "exclude")
 
 
 @query("C3_rate_table", with_ctes(
