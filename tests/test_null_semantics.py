@@ -53,3 +53,13 @@ def test_contrasts_antisymmetric(spark):
 def test_marginalise_constant(spark):
     df = spark.createDataFrame([(d, c, 7.0) for d in range(3) for c in "xyz"], "draw int, cell string, value double")
     assert {r.value for r in G.marginalise(df, []).collect()} == {7.0}
+
+
+def test_window_exclusions_equal_join_form(spark):
+    from tests.conftest import SMALL
+    from trialscope.sources.fixtures import responses
+    t = B.op_trials(responses(spark, SMALL))
+    a = D.with_exclusions(t).select("event_id", "exclude")
+    b = D.apply_exclusions(t, D.exclusions(t)).select("event_id", "exclude")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    assert a.filter("exclude").count() > 0
