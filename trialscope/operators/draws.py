@@ -13,12 +13,13 @@ tables, never by buffering a group.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialscope.functions.normal import LOGIT_075, _col, plogis, qnorm
+from trialscope.functions.normal import LOGIT_075, _col, plogis, qnorm, with_qnorm
 
 MAX_BROADCAST_ROWS = 1_000_000
 
@@ -78,11 +79,38 @@ def hash_uniform(*cols, seed: int = 0) -> Column:
     return (bits.cast("double") + 0.5) / float(2 ** 52)
 
 
+def hash_normal(*cols, seed: int = 0) -> Column:
+    """Standard normal from two hashed uniforms (Box-Muller): one ln, sqrt and cos per row,
+    no branches, so it stays cheap inside generated code; reproducible on any engine."""
+    u1 = hash_uniform(*cols, seed=seed)
+    u2 = hash_uniform(*cols, seed=seed + 1)
+    return F.sqrt(F.lit(-2.0) * F.ln(u1)) * F.cos(F.lit(2 * math.pi) * u2)
+
+
 def predicted_draws(fitted: DataFrame, row_keys: Sequence[str], sigma, seed: int = 1234,
                     value: str = "value", out: str = "prediction") -> DataFrame:
-    """Fitted value plus Normal(0, sigma) noise, the noise from a hashed uniform."""
-    u = fitted.withColumn("_u", hash_uniform(*row_keys, "draw", seed=seed))
-    return u.withColumn(out, F.col(value) + _col(sigma) * qnorm("_u")).drop("_u")
+    """Fitted value plus Normal(0, sigma) noise from hashed uniforms of (row keys, draw, seed)."""
+    return fitted.withColumn(out, F.col(value) + _col(sigma) * hash_normal(*row_keys, "draw", seed=seed))
+
+
+def cell_coefficients(draws: DataFrame, offset: int = 0, n_cells: int = 16) -> DataFrame:
+    """Draws of the cell-means layout as one row per (draw, cell) with (b0, b1).
+
+    Grouped on the draw partitioning (no shuffle); its size is draws x cells, so a
+    (sub)sample of draws can be broadcast to data-sized tables keyed by cell.
+    """
+    d = draws.filter((F.col("term") >= offset) & (F.col("term") < offset + 2 * n_cells))
+    d = d.withColumn("cell", F.floor((F.col("term") - offset) / 2).cast("int"))
+    even = (F.col("term") - offset) % 2 == 0
+    return d.groupBy("draw", "cell").agg(F.first(F.when(even, F.col("beta")), ignorenulls=True).alias("b0"),
+                                         F.first(F.when(~even, F.col("beta")), ignorenulls=True).alias("b1"))
+
+
+def fitted_by_cell(df: DataFrame, coefs: DataFrame, cell: Column, x: str, value: str = "value") -> DataFrame:
+    """Fitted value b0 + b1 * x for every row and draw: an equi-join on the design cell with
+    the (checked, broadcast) coefficient table, no aggregation and no shuffle of the rows."""
+    j = df.withColumn("cell", cell).join(broadcast_if_small(coefs), "cell")
+    return j.withColumn(value, F.col("b0") * 1.0 + F.col(x) * F.col("b1")).drop("b0", "b1", "cell")
 
 
 def take_draws(draws: DataFrame, n: int, seed: int = 1234) -> DataFrame:

@@ -16,7 +16,7 @@ from trialscope.operators import draws as G
 from trialscope.operators import joins as C
 from trialscope.operators import reshape as E
 from trialscope.plans.registry import query
-from trialscope.plans.sqltext import CELL, with_ctes
+from trialscope.plans.sqltext import CELL, normal_sql, with_ctes
 from trialscope.sources import fixtures as X
 
 LV = X.CONDITIONS
@@ -62,8 +62,7 @@ def trial_predictions(spark, sf, n_draws: int = 100):
     """Per modelled trial and (subsampled) draw: mean, predicted answer and log likelihood."""
     m = model(spark, sf).select("event_id", "condition", "sd_diff", "means", "lo_ground_truth", "lo_p_sup")
     d = G.take_draws(draws(spark, sf), n_draws)
-    fit = G.fitted_draws(m.select("event_id", "lo_p_sup", *GRID, "lo_ground_truth"), d,
-                         G.llo_design(cell(), F.col("lo_ground_truth")), value="mu", small="draws")
+    fit = G.fitted_by_cell(m, G.cell_coefficients(d), cell(), "lo_ground_truth", value="mu")
     fit = fit.select("event_id", "lo_p_sup", "draw", "mu")
     pred = G.predicted_draws(fit, ["event_id"], 1.0, seed=1234, value="mu")
     return pred.withColumn("ll", norm_logpdf("lo_p_sup", "mu", 1.0))
@@ -76,10 +75,9 @@ def g1(spark, sf):
 
 
 @query("G2_predicted_draws", with_ctes(
-    f"SELECT condition, sd_diff, means, lo_ground_truth, draw, {r6('value + ' + qnorm_sql('u'), 'prediction')} FROM "
-    f"(SELECT *, ((CAST('0x' || substr(md5(CAST({CELL} AS VARCHAR) || '|' || CAST(CAST(lo_ground_truth AS INT) AS VARCHAR) "
-    "|| '|' || CAST(draw AS VARCHAR) || '|1234'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0) AS u FROM fitted_llo)",
-    "fitted_llo"))
+    f"SELECT condition, sd_diff, means, lo_ground_truth, draw, {r6('value + 1.0 * zn', 'prediction')} FROM "
+    f"(SELECT *, {normal_sql('ci', 'xi', 'draw')} AS zn FROM (SELECT *, {CELL} AS ci, CAST(lo_ground_truth AS INT) AS xi "
+    "FROM fitted_llo))", "fitted_llo"))
 def g2(spark, sf):
     f = fitted_llo(spark, sf).withColumns({"_cell": cell(), "_xi": F.col("lo_ground_truth").cast("int")})
     return G.predicted_draws(f, ["_cell", "_xi"], 1.0, seed=1234).drop("_cell", "_xi", "value")
@@ -168,8 +166,7 @@ def g11(spark, sf):
     "SELECT condition, draw, max(e) FILTER (WHERE means) - max(e) FILTER (WHERE NOT means) AS d FROM ("
     "SELECT condition, means, draw, avg(abs(100.0/(1.0+exp(-lo_ground_truth)) - 100.0*p)) AS e FROM ("
     "SELECT *, CASE WHEN prediction >= 0 THEN 1.0/(exp(-prediction)+1.0) ELSE exp(prediction)/(exp(prediction)+1.0) END AS p FROM ("
-    f"SELECT *, value + {qnorm_sql('u')} AS prediction FROM (SELECT *, ((CAST('0x' || substr(md5(CAST(ti AS VARCHAR) || '|' || "
-    "CAST(draw AS VARCHAR) || '|99'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0) AS u FROM (SELECT g.condition, g.sd_diff, "
+    f"SELECT *, value + 1.0 * {normal_sql('ti', 'draw', seed=99)} AS prediction FROM (SELECT * FROM (SELECT g.condition, g.sd_diff, "
     "g.means, g.lo_ground_truth, g.ti, d.draw, sum(g.x * d.beta) AS value FROM (SELECT condition, sd_diff, means, lo_ground_truth, "
     f"ti, 2*{CELL} AS term, 1.0::DOUBLE AS x FROM gt UNION ALL SELECT condition, sd_diff, means, lo_ground_truth, ti, 2*{CELL}+1, "
     "lo_ground_truth FROM gt) g JOIN draws d USING (term) GROUP BY ALL)))) GROUP BY ALL) GROUP BY ALL) GROUP BY condition",

@@ -214,10 +214,15 @@ cte("pred_trials", f"""
   JOIN draws100 d USING (term)
   GROUP BY m.event_id, m.lo_p_sup, d.draw""", ["model", "draws100"])
 
+def normal_sql(*cols: str, seed: int = 1234) -> str:
+    """Box-Muller standard normal from two hashed uniforms, as ``draws.hash_normal``."""
+    return f"(sqrt(-2.0 * ln({u_sql(*cols, seed=seed)})) * cos(6.283185307179586 * {u_sql(*cols, seed=seed + 1)}))"
+
+
 cte("pred_trials_u", f"""
-  SELECT *, {u_sql('event_id', 'draw')} AS u FROM pred_trials""", ["pred_trials"])
+  SELECT *, {normal_sql('event_id', 'draw')} AS zn FROM pred_trials""", ["pred_trials"])
 
 cte("pred_trials_y", f"""
-  SELECT event_id, lo_p_sup, draw, mu, mu + {qnorm_sql('u')} AS prediction,
+  SELECT event_id, lo_p_sup, draw, mu, mu + 1.0 * zn AS prediction,
          -0.5*(lo_p_sup - mu)*(lo_p_sup - mu) - 0.9189385332046727 AS ll
   FROM pred_trials_u""", ["pred_trials_u"])
