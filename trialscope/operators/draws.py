@@ -228,7 +228,7 @@ def pit_residuals(pred: DataFrame, obs_keys: Sequence[str], y: str, prediction:
     """Share of predicted draws below the observed answer, and its normal z-score."""
     s = pred.groupBy(*obs_keys).agg(F.avg((F.col(prediction) < F.col(y)).cast("double")).alias("pit"))
     s = s.withColumn("_pc", F.least(F.greatest(F.col("pit"), F.lit(1e-6)), F.lit(1 - 1e-6)))
-    return s.withColumn("z", qnorm("_pc")).drop("_pc")
+    return with_qnorm(s, "_pc", "z").drop("_pc")
 
 
 # G18 / H14 -------------------------------------------------------------------
