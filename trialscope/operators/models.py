@@ -355,3 +355,21 @@ def intercept_fit(df: DataFrame, col: str, keys: Sequence[str] = (), binary: boo
         return df.groupBy(*keys).agg(F.avg(F.col(col).cast("double")).alias("_p")).select(
             *keys, qlogis("_p").alias("intercept"))
     return df.groupBy(*keys).agg(F.avg(col).alias("intercept"), F.stddev_samp(col).alias("sigma"))
+
+
+# G4 ------------------------------------------------------------------------
+def worker_draws(df: DataFrame, n: int, seed: int = 21, worker: str = "worker_id", row: str = "event_id",
+                 y: str = "lo_p_sup", x: str = "lo_ground_truth") -> DataFrame:
+    """Worker-level (intercept, slope) draws: a Poisson bootstrap over each worker's own trials.
+
+    Every trial is expanded n times with a hashed Poisson(1) weight; the (worker, draw) sums
+    are combined map-side before the shuffle, so a hot worker costs n rows per map task.
+    """
+    from trialscope.operators.draws import hash_uniform
+    rep = df.select(worker, row, x, y).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    rep = rep.withColumn("_w", poisson1(hash_uniform(row, "draw", seed=seed))).filter(F.col("_w") > 0)
+    w = F.col("_w").cast("double")
+    s = rep.groupBy(worker, "draw").agg(F.sum(w).alias("sw"), F.sum(w * F.col(x)).alias("sx"), F.sum(w * F.col(y)).alias("sy"),
+                                        F.sum(w * F.col(x) * F.col(x)).alias("sxx"), F.sum(w * F.col(x) * F.col(y)).alias("sxy"))
+    a, b = _ols2(F.col("sw"), F.col("sx"), F.col("sy"), F.col("sxx"), F.col("sxy"))
+    return s.select(worker, "draw", a.alias("intercept"), b.alias("slope"))

@@ -131,3 +131,22 @@ def i12(spark, sf):
     cells = trials(spark, sf).filter((F.col("ground_truth") > 0.5) & (F.col("ground_truth") < 0.999)) \
         .select("ground_truth", "sd_diff").distinct()
     return cells.withColumn("est_cles", U.h_guess_one())
+
+
+@query("G4_worker_fitted_draws", with_ctes(
+    "SELECT worker_id, draw, lo_ground_truth, round_even(CASE WHEN lo_ground_truth = 0.0 THEN a ELSE a + b END, 6) AS value FROM ("
+    "SELECT worker_id, draw, (sy - ((sw * sxy - sx * sy) / (sw * sxx - sx * sx)) * sx) / sw AS a, "
+    "(sw * sxy - sx * sy) / (sw * sxx - sx * sx) AS b FROM (SELECT worker_id, draw, sum(w) AS sw, sum(w * x) AS sx, "
+    "sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy FROM (SELECT *, CAST(CASE "
+    + " ".join(f"WHEN u < {c!r} THEN {k}" for k, c in enumerate(H.POISSON1_CUTS)) +
+    " ELSE 8 END AS DOUBLE) AS w FROM (SELECT worker_id, draw, lo_ground_truth AS x, lo_p_sup AS y, "
+    + __import__("trialscope.plans.sqltext", fromlist=["u_sql"]).u_sql("event_id", "draw", seed=21) +
+    " AS u FROM model, (SELECT unnest(range(0, 50)) AS draw))) WHERE w > 0 GROUP BY worker_id, draw)), "
+    "(SELECT unnest([0.0, 1.0]) AS lo_ground_truth)", "model"))
+def g4(spark, sf):
+    """Fitted draws with worker effects (re = worker): per-worker bootstrap draws, fitted at truth 0 and 1."""
+    wd = H.worker_draws(model(spark, sf), 50, seed=21)
+    pts = F.array(F.struct(F.lit(0.0).alias("lo_ground_truth"), F.col("intercept").alias("value")),
+                  F.struct(F.lit(1.0).alias("lo_ground_truth"), (F.col("intercept") + F.col("slope")).alias("value")))
+    return wd.select("worker_id", "draw", F.explode(pts).alias("_p")).select(
+        "worker_id", "draw", "_p.lo_ground_truth", "_p.value")
