@@ -41,6 +41,19 @@ class Sizes:
         return max(8, math.ceil(self.bytes * key_bytes_per_text_byte / BUCKET_BYTES))
 
 
+def sorted_runs(hi: np.ndarray, lo: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts (hi, lo), and where in it a new key begins."""
+    order = np.argsort(hi)
+    a, b = hi[order], None if lo is None else lo[order]
+    fresh = np.ones(len(hi), dtype=bool)
+    fresh[1:] = a[1:] != a[:-1]
+    if lo is not None and (~fresh[1:] & (b[1:] != b[:-1])).any():  # equal hi, other lo: sort by both
+        order = np.lexsort((lo, hi))
+        a, b = hi[order], lo[order]
+        fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return order, fresh
+
+
 class Keys:
     """Distinct sorted keys of one group. ``place[i]`` is where occurrence i's key stands among them.
 
@@ -52,19 +65,14 @@ class Keys:
         self.width = 6 if lo is None else 12
         if lo is None:
             hi = hi >> np.uint64(16) << np.uint64(16)
-            order = np.argsort(hi, kind="stable")
-            fresh = np.ones(len(hi), dtype=bool)
-            fresh[1:] = hi[order][1:] != hi[order][:-1]
         else:
             lo = lo >> np.uint64(32)
-            order = np.lexsort((lo, hi))
-            fresh = np.ones(len(hi), dtype=bool)
-            fresh[1:] = (hi[order][1:] != hi[order][:-1]) | (lo[order][1:] != lo[order][:-1])
+        order, fresh = sorted_runs(hi, lo)
         self.place = np.empty(len(hi), dtype=np.int64)
         self.place[order] = np.cumsum(fresh) - 1
         self.hi, self.lo = hi[order][fresh], None if lo is None else lo[order][fresh]
         begin = np.flatnonzero(fresh)
-        self.earliest = order[begin]  # of each key the first occurrence
+        self.earliest = np.minimum.reduceat(order, begin) if len(begin) else begin  # first occurrence of each key
         if marks is None:
             self.multi = np.diff(np.append(begin, len(hi))) > 1
         else:
@@ -106,17 +114,17 @@ def _answer(number: int, width: int, rows: pa.Table) -> pa.Table:
     hi = padded.view(">u8").ravel().astype(np.uint64)
     if width > 8:
         lo = np.ascontiguousarray(raw[:, 8:]).view(">u4").ravel().astype(np.uint32)
-        order = np.lexsort((lo, hi))
-        same = (hi[order][1:] == hi[order][:-1]) & (lo[order][1:] == lo[order][:-1])
+        order, fresh = sorted_runs(hi, lo)
     else:
-        order = np.argsort(hi, kind="stable")
-        same = hi[order][1:] == hi[order][:-1]
+        order, fresh = sorted_runs(hi, None)
     multi = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=c) for m, c in zip(rows["multi"].to_pylist(), n)])
-    fresh = np.concatenate(([True], ~same))
-    run = np.cumsum(fresh) - 1
+    run, begin = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+    lead = np.minimum.reduceat(order, begin)  # rows are ordered by group, so this one is in the first group
     marks = np.bincount(run, weights=multi[order])
     recurs, first, marked = (np.empty(len(raw), dtype=bool) for _ in range(3))
-    recurs[order], first[order], marked[order] = (np.bincount(run) + marks > 1)[run], fresh, (marks > 0)[run]
+    recurs[order], marked[order] = (np.bincount(run) + marks > 1)[run], (marks > 0)[run]
+    first[:] = False
+    first[lead] = True
     cuts = np.concatenate(([0], np.cumsum(n)))
     bits = [[np.packbits(x[i:j]).tobytes() for i, j in zip(cuts, cuts[1:])] for x in (recurs, first, marked)]
     return pa.table([rows["g"], pa.array([number] * len(n), pa.int32()), rows["b"], pa.array(bits[0], pa.binary()),

@@ -33,7 +33,7 @@ LANES = tuple((_random_table(seed), base, pow(base, -1, 1 << 64))
               for seed, base in ((11, 0x9E3779B97F4A7C15), (23, 0xD1342543DE82EF95)))
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=16)
 def _power_block(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, dtype=np.uint64)
     out[0] = 1
@@ -131,15 +131,18 @@ class Words:
 
 
 def covered(starts: np.ndarray, size: int, n: int) -> np.ndarray:
-    """Mask of the n positions that windows [s, s + size) cover."""
+    """Mask of the n positions that windows [s, s + size) cover; starts ascend."""
     return between(starts, np.minimum(starts + size, n), n)
 
 
 def between(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
-    """Mask of the n positions within any [start, end)."""
-    step = np.bincount(starts, minlength=n + 1).astype(np.int32)
-    step -= np.bincount(ends, minlength=n + 1).astype(np.int32)
-    return np.cumsum(step[:n], dtype=np.int32) > 0
+    """Mask of the n positions within any [start, end); starts and ends both ascend."""
+    step = np.zeros(n + 1, dtype=np.int8)
+    if len(starts):
+        fresh = np.concatenate(([True], starts[1:] > ends[:-1]))  # merged, so that each edge counts once
+        step[starts[fresh]] = 1
+        step[ends[np.concatenate((fresh[1:], [True]))]] = -1
+    return np.cumsum(step[:n], dtype=np.int8).view(bool)
 
 
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
