@@ -6,7 +6,7 @@
    id, so the first group that holds a window also holds its earliest occurrence.
 3. *Automata*: each group compiles one pyahocorasick automaton (a shard of the corpus-wide set) of phrases that
    were confirmed and stand in it: windows at every ``size``-th place, and the last, of each recurring passage,
-   which together cover the passage. A word is one symbol. All texts of the group are streamed through it, and
+   which together cover the passage. A word is a few digits. All texts of the group are streamed through it, and
    every occurrence but a window's earliest removes its words. Shards of a group are bounded by ``SHARD``.
 """
 
@@ -24,7 +24,7 @@ from .textbytes import Words, covered, hash_slices, runs, text_buffer
 SIZE = 20
 PHRASE = 5
 SHARD = 20_000
-BASE = 1_000_000  # symbols a code point can tell apart
+DIGITS = 64  # a word is written in this base, so that no node of an automaton has more edges
 
 _OUT = pa.schema([("id", pa.int64()), ("kept", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64())])
 
@@ -83,38 +83,33 @@ class Passages:
         heads = np.unique(np.concatenate(heads)) if heads else np.zeros(0, np.int64)
         if not len(heads):
             return heads
-        _, symbol = np.unique(self.hash, return_inverse=True)
-        symbol = symbol + 1
-        seat = np.arange(len(symbol)) + self.words.doc  # texts parted by symbol 0
-        width = 1 if len(symbol) < BASE else 2
-        coded = np.zeros((len(symbol) + len(self.off) - 2, width), dtype="<u4")
+        known = np.unique(self.hash[covered(heads, self.size, len(self.hash))])
+        number = np.minimum(np.searchsorted(known, self.hash), len(known) - 1)
+        number = np.where(known[number] == self.hash, number + 1, 0)  # 0: a word of no phrase
+        width = max(1, int(np.ceil(np.log(len(known) + 1) / np.log(DIGITS) + 1e-9)))
+        seat = np.arange(len(number)) + self.words.doc  # texts parted by an empty seat
+        coded = np.zeros((len(number) + len(self.off) - 2, width), dtype="<u4")
         for k in range(width):
-            coded[seat, k] = symbol // BASE ** k % BASE
-        coded[coded >= 0xD800] += 0x800  # no surrogates
+            coded[seat, k] = 1 + k * DIGITS + number // DIGITS ** k % DIGITS
         stream = coded.tobytes().decode("utf-32-le")
         word_at = np.full(len(coded), -1, dtype=np.int64)
-        word_at[seat] = np.arange(len(symbol))
+        word_at[seat] = np.arange(len(number))
         found = []
         for k in range(0, len(heads), SHARD):
             shard = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-            for i in seat[heads[k:k + SHARD]]:
-                shard.add_word(stream[i * width:(i + self.size) * width])
+            for i in seat[heads[k:k + SHARD]] * width:
+                shard.add_word(stream[i:i + self.size * width])
             shard.make_automaton()
-            found.append(np.fromiter((e for e, _ in shard.iter(stream)), dtype=np.int64) + 1 - self.size * width)
-        begin = np.concatenate(found)
-        at = np.unique(word_at[begin[begin % width == 0] // width])
+            found.append(np.fromiter((e for e, _ in shard.iter(stream)), dtype=np.int64))
+        at = np.unique(word_at[(np.concatenate(found) + 1) // width - self.size])
         return at[~earliest[at]]
 
     def cut(self, flags: pa.Table) -> pa.Table:
         gone = self.removed(flags)
         total = np.concatenate(([0], np.cumsum(gone)))
         removed = total[self.words.off[1:]] - total[self.words.off[:-1]]
-        raw, kept = self.buf.tobytes(), []
-        spans = list(zip(self.words.start.tolist(), self.words.end.tolist(), gone.tolist()))
-        for a, b in zip(self.words.off, self.words.off[1:]):
-            kept.append(b" ".join([raw[s:e] for s, e, x in spans[a:b] if not x]))
-        return pa.table([self.ids.combine_chunks(), pa.array(kept, pa.binary()).cast(pa.string()),
-                         pa.array(np.diff(self.words.off), pa.int64()), pa.array(removed, pa.int64())], schema=_OUT)
+        return pa.table([self.ids.combine_chunks(), self.words.joined(~gone), pa.array(np.diff(self.words.off), pa.int64()),
+                         pa.array(removed, pa.int64())], schema=_OUT)
 
 
 def _spread(keys: Keys, lead: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -140,7 +135,7 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives an empty result; other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sizes = Sizes(rows, "text")
+    sizes = Sizes(rows, "text", 4 << 20)
     bounds = np.array(id_ranges(rows, sizes.groups), dtype=np.int64)
     buckets = {1: sizes.buckets(0.15), 2: sizes.buckets(0.7)}
 
