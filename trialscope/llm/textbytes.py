@@ -130,19 +130,24 @@ class Words:
         return at[self.doc[at] == self.doc[at + size - 1]] if len(at) else at
 
 
-    def joined(self, keep: np.ndarray) -> pa.Array:
-        """Per text, the words kept, joined by one space."""
+    def flat(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of the words kept, those of a text parted by one space; where each begins and ends in them."""
         start, doc = self.start[keep], self.doc[keep]
         size = self.end[keep] - start
         gap = np.zeros(len(start), dtype=np.int64)
         gap[1:] = doc[1:] == doc[:-1]
-        total = np.concatenate(([0], np.cumsum(size + gap)))
-        read = np.concatenate(([0], np.cumsum(size)))
-        out = np.full(total[-1], 0x20, dtype=np.uint8)
-        step = np.arange(read[-1])
-        out[step + np.repeat(total[:-1] + gap - read[:-1], size)] = self.buf[step + np.repeat(start - read[:-1], size)]
-        off = total[np.concatenate(([0], np.cumsum(keep)))[self.off]]
-        return pa.LargeStringArray.from_buffers(len(off) - 1, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(out)).cast(pa.string())
+        total = np.cumsum(size + gap)
+        read = np.cumsum(size) - size
+        out = np.full(total[-1] if len(total) else 0, 0x20, dtype=np.uint8)
+        step = np.arange(size.sum())
+        out[step + np.repeat(total - size - read, size)] = self.buf[step + np.repeat(start - read, size)]
+        return out, total - size, total
+
+    def joined(self, keep: np.ndarray) -> pa.Array:
+        """Per text, the words kept, joined by one space."""
+        out, _, end = self.flat(keep)
+        off = np.concatenate(([0], end))[np.concatenate(([0], np.cumsum(keep)))[self.off]].astype(np.int64)
+        return pa.LargeStringArray.from_buffers(len(off) - 1, pa.py_buffer(off), pa.py_buffer(out)).cast(pa.string())
 
 
 def covered(starts: np.ndarray, size: int, n: int) -> np.ndarray:
