@@ -23,7 +23,7 @@ from .textbytes import Words, covered, hash_slices, runs, text_buffer
 
 SIZE = 20
 PHRASE = 5
-SHARD = 20_000
+SHARD = 5_000
 DIGITS = 64  # a word is written in this base, so that no node of an automaton has more edges
 
 _OUT = pa.schema([("id", pa.int64()), ("kept", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64())])

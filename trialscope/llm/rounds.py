@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 KEYS_SCHEMA = "b long, g long, keys binary, multi binary"
 FLAGS_SCHEMA = "g long, round int, b long, recurs binary, first binary, marked binary"
 GROUP_BYTES = 8 << 20
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 
 _KEYS = pa.schema([("b", pa.int64()), ("g", pa.int64()), ("keys", pa.binary()), ("multi", pa.binary())])
 _FLAGS = pa.schema([("g", pa.int64()), ("round", pa.int32()), ("b", pa.int64()), ("recurs", pa.binary()),
