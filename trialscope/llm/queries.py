@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import phrase_automata, pieces, simhash, substring_array
+from . import line_dedup, mixing, phrase_automata, pieces, secret_scan, simhash, substring_array
+from .oracles import LINES_SQL, MIX_SQL, SECRETS_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -35,6 +36,36 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
+                      F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+@query
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.scan(documents(spark, sf_dir))
+    count = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{r.kind}")
+             for k, r in enumerate(secret_scan.BASE)]
+    base = F.filter("spans", lambda s: s["kind"] < len(secret_scan.BASE))
+    return out.select("doc_id", *count, F.sha2(F.encode(secret_scan.written(base), "UTF-8"), 256).alias("base_sha256"),
+                      secret_scan.written(F.col("spans")).alias("spans"))
+
+
+#: production parameters of the mixture: weights of the levels, half of all tokens, at most two epochs
+MIX = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 6, "de": 2, "fr": 2}}
+
+
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("domain", mixing.domain_of(F.col("source")))
+    out = mixing.plan(docs, MIX, (1, 2), max_epochs=2, seed=7)
+    every = out.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).where("copies > 0")
+    return every.select(F.col("id").alias("doc_id"), "domain", "lang", "source", "n_tokens",
+                        F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("epoch"))
+
+
 @query
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pieces.encode_decode(documents(spark, sf_dir), piece_model())
@@ -52,3 +83,6 @@ def op7_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+ORACLE |= {"op3_line_dedup": LINES_SQL, "op4_secret_scan": SECRETS_SQL, "op5_mixing": MIX_SQL}
