@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
+from operator import eq
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +48,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_scan.scan(documents(spark, sf_dir))
-    count = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{r.kind}")
+    count = [F.size(F.filter(F.col("spans.kind"), partial(eq, k))).cast("long").alias(f"n_{r.kind}")
              for k, r in enumerate(secret_scan.BASE)]
     base = F.filter("spans", lambda s: s["kind"] < len(secret_scan.BASE))
     return out.select("doc_id", *count, F.sha2(F.encode(secret_scan.written(base), "UTF-8"), 256).alias("base_sha256"),
