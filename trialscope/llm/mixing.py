@@ -28,27 +28,29 @@ def domain_of(source: Column) -> Column:
     return F.when(digits == "", "other").otherwise(F.concat(F.lit("d"), (F.substring(digits, -9, 9).cast("int") % 4).cast("string")))
 
 
-def _weights(nodes: DataFrame, path: list[str], weights: Mapping[str, int]) -> DataFrame:
-    """Weight among its siblings of each node: ``weights`` by the level's name, 1 where it says nothing."""
+def _weight(level: str, weights: Mapping[str, int]) -> Column:
+    """Whole weight of a node among its siblings, by its name; 1 where ``weights`` says nothing."""
     if not weights:
-        return nodes.withColumn("w", F.lit(1).cast("long"))
+        return F.lit(1).cast("long")
     table = F.create_map([F.lit(x) for name, w in weights.items() for x in (name, int(w))])
-    return nodes.withColumn("w", F.coalesce(F.try_element_at(table, F.col(path[-1])), F.lit(1)).cast("long"))
+    return F.coalesce(F.try_element_at(table, F.col(level)), F.lit(1)).cast("long")
 
 
-def budgets(leaves: DataFrame, levels: tuple[str, ...], weights: Mapping[str, Mapping[str, int]], total: int | Column,
+def budgets(leaves: DataFrame, levels: tuple[str, ...], weights: Mapping[str, Mapping[str, int]], total: Column,
             max_epochs: int) -> DataFrame:
-    """``leaves`` (levels, tokens) with ``budget``: each leaf's share of ``total`` tokens."""
+    """``leaves`` (levels, tokens) with ``budget``: each leaf's share of ``total`` tokens.
+
+    The plan of a level reads the one above several times, so each level (a row a node) is written out.
+    """
     names = list(levels)
-    caps = leaves.withColumn("cap", F.col("tokens") * max_epochs)
-    for depth in range(len(names), 0, -1):  # a node without weight takes nothing, and none of its parent's room
-        nodes = _weights(caps.select(*names[:depth]).distinct(), names[:depth], weights.get(names[depth - 1], {}))
-        caps = caps.join(nodes.withColumnRenamed("w", f"w{depth}"), names[:depth])
-        caps = caps.withColumn("cap", F.when(F.col(f"w{depth}") > 0, F.col("cap")).otherwise(F.lit(0).cast("long")))
-    above = caps.agg(F.least(F.sum("cap"), F.lit(total).cast("long") if isinstance(total, int) else total).alias("budget"))
+    caps = leaves.withColumns({f"w_{name}": _weight(name, weights.get(name, {})) for name in names})
+    # a node without weight takes nothing, and none of its parent's room
+    caps = cut(caps.withColumn("cap", F.when(F.least(*[F.col(f"w_{n}") for n in names], F.lit(1)) > 0, F.col("tokens") * max_epochs)
+                               .otherwise(F.lit(0).cast("long"))))
+    above = cut(caps.agg(F.least(F.sum("cap"), total).alias("budget")))
     for depth in range(1, len(names) + 1):
         path, parent = names[:depth], names[:depth - 1]
-        nodes = caps.groupBy(*path).agg(F.sum("cap").alias("cap"), F.max(f"w{depth}").alias("w"))
+        nodes = caps.groupBy(*path).agg(F.sum("cap").alias("cap"), F.max(f"w_{path[-1]}").alias("w"))
         nodes = nodes.join(above, parent) if parent else nodes.crossJoin(above)
         by = Window.partitionBy(*parent, "budget")
         fill = by.orderBy((F.col("cap") / F.when(F.col("w") > 0, F.col("w"))).asc_nulls_last(), names[depth - 1])
@@ -59,8 +61,8 @@ def budgets(leaves: DataFrame, levels: tuple[str, ...], weights: Mapping[str, Ma
                  .withColumn("spent", F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)).over(by))
                  .withColumn("w_open", F.sum(F.when(F.col("full"), 0).otherwise(F.col("w"))).over(by)))
         share = F.when(F.col("full"), F.col("cap")).when(F.col("w") > 0, F.expr("w * (budget - spent) div w_open")).otherwise(F.lit(0))
-        above = nodes.select(*path, F.least(share, "cap").cast("long").alias("budget"))
-    return leaves.join(above, names)
+        above = cut(nodes.select(*path, F.least(share, "cap").cast("long").alias("budget")))
+    return caps.select(*names, "tokens").join(above, names)
 
 
 def plan(docs: DataFrame, weights: Mapping[str, Mapping[str, int]], share: tuple[int, int], max_epochs: int = 1,
@@ -84,7 +86,7 @@ def plan(docs: DataFrame, weights: Mapping[str, Mapping[str, int]], share: tuple
     leaves = budgets(leaves, levels, weights, total, max_epochs)
     # a leaf without tokens has no epochs to count
     leaves = leaves.withColumn("epochs", F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(F.lit(0).cast("long")))
-    leaves = leaves.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens"))
+    leaves = cut(leaves.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens")))
     taken = items.join(leaves.select(*names, "epochs", "rest"), names)
     spot = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit("none"))).cast("binary"))
     taken = taken.withColumn("spot", spot).withColumn("range", F.substring("spot", 1, HEX))
