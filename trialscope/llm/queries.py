@@ -9,7 +9,7 @@ from operator import eq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, phrase_automata, pieces, secret_scan, simhash, substring_array
+from . import line_dedup, mixing, phrase_automata, pieces, quality_crf, secret_scan, simhash, substring_array
 from .oracles import LINES_SQL, MIX_SQL, SECRETS_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,13 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+@query
+def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    crf = quality_crf.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_crf.quality(docs, crf).drop("labels")
+
+
 @query
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"))
