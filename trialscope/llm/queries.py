@@ -9,7 +9,7 @@ from operator import eq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, phrase_automata, pieces, quality_crf, secret_scan, simhash, substring_array
+from . import interpolation, line_dedup, mixing, phrase_automata, pieces, quality_crf, secret_scan, simhash, substring_array
 from .oracles import LINES_SQL, MIX_SQL, SECRETS_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +89,11 @@ def op7_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+@query
+def op9_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.score(documents(spark, sf_dir))
+
+
 @query
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
