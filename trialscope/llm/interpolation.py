@@ -42,6 +42,16 @@ _OUT = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.
 TELL_SCHEMA = "g long, kind string, b long, kept binary, held binary"
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Bytes of equal weight side by side: of small numbers the upper ones are all zero, and compress away."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def unpack(raw: bytes, dtype: type) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(dtype).ravel()
+
+
 class Grams:
     """Distinct sorted keys of a group and how often its kept and held-out training tokens hold each."""
 
@@ -58,7 +68,10 @@ class Grams:
     def rows(self, g: int) -> pa.Table:
         used = np.flatnonzero(np.diff(self.cuts))
         spans = [(int(self.cuts[b]), int(self.cuts[b + 1])) for b in used]
-        columns = [pa.array([x[i:j].tobytes() for i, j in spans], pa.binary()) for x in (self.key, *self.counts)]
+        # sorted keys go out as steps from one to the next
+        steps = [np.diff(self.key[i:j], prepend=np.uint64(0)) for i, j in spans]
+        columns = [pa.array([pack(x) for x in steps], pa.binary()),
+                   *[pa.array([pack(c[i:j]) for i, j in spans], pa.binary()) for c in self.counts]]
         return pa.table([pa.array(used + self.shift, pa.int64()), pa.array([g] * len(used), pa.int64()), *columns], schema=_ASK)
 
     def totals(self, answers: pa.Table) -> np.ndarray:
@@ -68,7 +81,7 @@ class Grams:
             b = row["b"] - self.shift
             if row["kind"] == "counts" and 0 <= b < len(self.cuts) - 1:
                 i, j = int(self.cuts[b]), int(self.cuts[b + 1])
-                out[0, i:j], out[1, i:j] = np.frombuffer(row["kept"], np.uint64), np.frombuffer(row["held"], np.uint64)
+                out[0, i:j], out[1, i:j] = unpack(row["kept"], np.uint64), unpack(row["held"], np.uint64)
         return out
 
 
@@ -175,8 +188,8 @@ def maximise(bins: np.ndarray, n: np.ndarray, vocabulary: int, steps: int = EM_S
 def _count(rows: pa.Table, unigrams: int) -> pa.Table:
     """One bucket: adds the counts of its keys over the groups; row g = -1 holds its sums, for the totals."""
     rows = rows.sort_by("g")
-    key = np.frombuffer(b"".join(rows["keys"].to_pylist()), np.uint64)
-    counts = [np.frombuffer(b"".join(rows[c].to_pylist()), np.uint32) for c in ("kept", "held")]
+    key = np.concatenate([np.cumsum(unpack(k, np.uint64), dtype=np.uint64) for k in rows["keys"].to_pylist()])
+    counts = [np.concatenate([unpack(c, np.uint32) for c in rows[name].to_pylist()]) for name in ("kept", "held")]
     order, fresh = sorted_runs(key, None)
     begin, run = np.flatnonzero(fresh), np.cumsum(fresh) - 1
     sums = [np.add.reduceat(c[order].astype(np.uint64), begin) for c in counts]
@@ -185,7 +198,7 @@ def _count(rows: pa.Table, unigrams: int) -> pa.Table:
     for s in sums:
         each = np.empty(len(key), dtype=np.uint64)
         each[order] = s[run]
-        told.append([each[i:j].tobytes() for i, j in zip(cuts, cuts[1:])])
+        told.append([pack(each[i:j]) for i, j in zip(cuts, cuts[1:])])
     b = rows["b"][0].as_py()
     out = pa.table([rows["g"], pa.array(["counts"] * len(rows)), rows["b"], pa.array(told[0], pa.binary()),
                     pa.array(told[1], pa.binary())], schema=_TELL)
