@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .parameters import MIX, MIX_SEED
 from .secret_scan import BASE, MORE
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -94,4 +95,4 @@ SELECT doc_id, domain, lang, source, n_tokens, unnest(range(0, copies))::BIGINT
 
 
 #: the weights, share, epochs and seed of the registered query
-MIX_SQL = mix_sql("documents", {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 6, "de": 2, "fr": 2}}, (1, 2), 2, 7)
+MIX_SQL = mix_sql("documents", MIX, (1, 2), 2, MIX_SEED)

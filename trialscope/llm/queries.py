@@ -9,8 +9,11 @@ from operator import eq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import interpolation, line_dedup, mixing, phrase_automata, pieces, quality_crf, secret_scan, simhash, substring_array
+import corpus_pipeline
+
+from . import interpolation, line_dedup, mixing, nn_descent, phrase_automata, pieces, quality_crf, secret_scan, simhash, substring_array
 from .oracles import LINES_SQL, MIX_SQL, SECRETS_SQL
+from .parameters import MIX, MIX_SEED, piece_model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,12 +35,6 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def piece_model() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("piece_bpe_32k.model")
-
-
 @query
 def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
@@ -62,14 +59,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                       secret_scan.written(F.col("spans")).alias("spans"))
 
 
-#: production parameters of the mixture: weights of the levels, half of all tokens, at most two epochs
-MIX = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 6, "de": 2, "fr": 2}}
-
-
 @query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).withColumn("domain", mixing.domain_of(F.col("source")))
-    out = mixing.plan(docs, MIX, (1, 2), max_epochs=2, seed=7)
+    out = mixing.plan(docs, MIX, (1, 2), max_epochs=2, seed=MIX_SEED)
     every = out.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).where("copies > 0")
     return every.select(F.col("id").alias("doc_id"), "domain", "lang", "source", "n_tokens",
                         F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("epoch"))
@@ -89,6 +82,11 @@ def op7_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+@query
+def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 10, F.col("vec_id") % 100 == 0)
+
+
 @query
 def op9_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolation.score(documents(spark, sf_dir))
@@ -99,4 +97,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 ORACLE |= {"op3_line_dedup": LINES_SQL, "op4_secret_scan": SECRETS_SQL, "op5_mixing": MIX_SQL}
