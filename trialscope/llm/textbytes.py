@@ -6,7 +6,6 @@ size and not the partition. A *word* is a run of bytes other than space and 0x09
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,16 +32,19 @@ LANES = tuple((_random_table(seed), base, pow(base, -1, 1 << 64))
               for seed, base in ((11, 0x9E3779B97F4A7C15), (23, 0xD1342543DE82EF95)))
 
 
-@functools.lru_cache(maxsize=16)
-def _power_block(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    size = 1 << max(12, max(0, n - 1).bit_length())
-    return _power_block(base, size)[:n]
+    """The first n powers of base; up to two blocks of them are kept for the next call."""
+    kept = _POWERS.get(base)
+    if kept is None or len(kept) < n:
+        kept = np.full(max(n, 2 * BLOCK), base, dtype=np.uint64)
+        kept[0] = 1
+        np.multiply.accumulate(kept, out=kept)
+        if n <= 2 * BLOCK:
+            _POWERS[base] = kept
+    return kept[:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
