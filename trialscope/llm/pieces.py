@@ -27,7 +27,7 @@ from .textbytes import slices, text_buffer
 SPACE = "▁"
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: cached units and pairs a worker keeps before it starts anew
-CACHE = 350_000
+CACHE = 200_000
 NONE = float("-inf")
 _NO_PAIRS: dict[str, bool] = {}
 _OUT = pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])

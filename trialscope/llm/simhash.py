@@ -138,7 +138,8 @@ def with_fingerprint(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
     def fp(text: pa.Array) -> pa.Array:
         return pa.array(fingerprints(text, shingle).view(np.int64))
 
-    return docs.withColumn("fp", fp(F.col(text_col)))
+    # not to be computed again for a filter on it
+    return docs.withColumn("fp", fp.asNondeterministic()(F.col(text_col)))
 
 
 def classes(prints: DataFrame, radius: int) -> DataFrame:
