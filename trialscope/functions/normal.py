@@ -60,7 +60,7 @@ def qnorm(p, mean=0.0, sd=1.0) -> Column:
     inputs in their own projection first: the input is referenced many times.
     """
     if isinstance(p, str):
-        z = F.expr(qnorm_sql(f"`{p}`"))
+        z = F.expr(_qnorm_text(f"`{p}`"))
         return z if (mean == 0.0 and sd == 1.0) else _col(mean) + _col(sd) * z
     p = _col(p)
     q = p - F.lit(0.5)
@@ -84,7 +84,7 @@ def qnorm(p, mean=0.0, sd=1.0) -> Column:
 def pnorm(x, mean=0.0, sd=1.0) -> Column:
     """Standard normal CDF (Hart 5666), lower tail; a column name is parsed from SQL text."""
     if isinstance(x, str) and mean == 0.0 and sd == 1.0:
-        return F.expr(pnorm_sql(f"`{x}`"))
+        return F.expr(_pnorm_text(f"`{x}`"))
     x = _col(x)
     if not (mean == 0.0 and sd == 1.0):
         x = (x - _col(mean)) / _col(sd)
@@ -157,7 +157,7 @@ def _horner_sql(coefs, x: str) -> str:
     return acc
 
 
-def qnorm_sql(p: str) -> str:
+def _qnorm_text(p: str) -> str:
     q = f"(({p})-0.5)"
     rc = f"(0.180625-{q}*{q})"
     central = f"({q}*{_horner_sql(AS241_A, rc)}/{_horner_sql(AS241_B, rc)})"
@@ -170,7 +170,7 @@ def qnorm_sql(p: str) -> str:
             f"WHEN abs({q}) <= 0.425 THEN {central} WHEN {q} < 0 THEN -{tail} ELSE {tail} END)")
 
 
-def pnorm_sql(x: str) -> str:
+def _pnorm_text(x: str) -> str:
     a = f"abs({x})"
     e = f"exp(-{a}*{a}/2.0)"
     inner = f"({e}*{_horner_sql(HART_P, a)}/{_horner_sql(HART_Q, a)})"
@@ -182,6 +182,36 @@ def pnorm_sql(x: str) -> str:
     return f"(CASE WHEN ({x}) IS NULL THEN NULL WHEN ({x}) > 0 THEN 1.0-{lower} ELSE {lower} END)"
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """DuckDB text of ``body`` with ``value`` bound to ``name``, so that it is written (and computed) once."""
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
+def qnorm_sql(p: str) -> str:
+    q = "(_p-0.5)"
+    rc = f"(0.180625-{q}*{q})"
+    central = f"({q}*{_horner_sql(AS241_A, rc)}/{_horner_sql(AS241_B, rc)})"
+    r = f"CASE WHEN _p > 0 AND _p < 1 THEN sqrt(-ln(CASE WHEN {q} < 0 THEN _p ELSE 1.0-_p END)) END"
+    near = f"({_horner_sql(AS241_C, '_r-1.6')}/{_horner_sql(AS241_D, '_r-1.6')})"
+    far = f"({_horner_sql(AS241_E, '_r-5.0')}/{_horner_sql(AS241_F, '_r-5.0')})"
+    tail = f"(CASE WHEN _r <= 5.0 THEN {near} ELSE {far} END)"
+    out = _let("_r", r, f"(CASE WHEN {q} < 0 THEN -{tail} ELSE {tail} END)")
+    return _let("_p", p, (f"(CASE WHEN _p IS NULL OR _p < 0 OR _p > 1 THEN NULL "
+                          f"WHEN _p = 0 THEN CAST('-inf' AS DOUBLE) WHEN _p = 1 THEN CAST('inf' AS DOUBLE) "
+                          f"WHEN abs({q}) <= 0.425 THEN {central} ELSE {out} END)"))
+
+
+def pnorm_sql(x: str) -> str:
+    e = "exp(-_a*_a/2.0)"
+    inner = f"({e}*{_horner_sql(HART_P, '_a')}/{_horner_sql(HART_Q, '_a')})"
+    cf = "(_a+0.65)"
+    for k in (4.0, 3.0, 2.0, 1.0):
+        cf = f"(_a+{k}/{cf})"
+    outer = f"({e}/({cf}*{_lit_sql(SQRT_2PI)}))"
+    lower = f"(CASE WHEN _a > 37.0 THEN 0.0 WHEN _a < {_lit_sql(HART_SWITCH)} THEN {inner} ELSE {outer} END)"
+    return _let("_x", x, _let("_a", "abs(_x)", f"(CASE WHEN _x IS NULL THEN NULL WHEN _x > 0 THEN 1.0-{lower} ELSE {lower} END)"))
+
+
 def qlogis_sql(p: str) -> str:
     return f"ln(({p})/(1.0-({p})))"
 

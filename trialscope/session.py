@@ -23,16 +23,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        # one machine: a scratch folder is shared by driver and executors
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="trialscope-ckpt-", dir=os.environ.get("TRIALSCOPE_SCRATCH")))
     ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; set a scratch one only when unset (tests)."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; an error if it names none."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="trialscope-ckpt-", dir=os.environ.get("TRIALSCOPE_SCRATCH", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", d)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(d)
     return d
 
