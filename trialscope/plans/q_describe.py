@@ -480,11 +480,11 @@ def e9(spark, sf):
 
 @query("E10_unnest", with_ctes(
     f"SELECT worker_id, CAST(rn AS INT) AS pos, trial, {rnd('p_superiority')} FROM (SELECT worker_id, trial, p_superiority, "
-    "row_number() OVER (PARTITION BY worker_id ORDER BY trial) AS rn FROM trials) WHERE rn <= 50", "trials"))
+    "row_number() OVER (PARTITION BY worker_id ORDER BY trial) AS rn FROM trials)", "trials"))
 def e10(spark, sf):
     t = B.clean_trials(X.responses(spark, sf))
-    firsts = D.collect_first(t, ["worker_id"], ["trial"], "p_superiority", 50) \
-        .join(D.collect_first(t, ["worker_id"], ["trial"], "trial", 50), "worker_id")
+    firsts = D.collect_first(t, ["worker_id"], ["trial"], "p_superiority", 2**31 - 1) \
+        .join(D.collect_first(t, ["worker_id"], ["trial"], "trial", 2**31 - 1), "worker_id")
     return E.unnest(firsts, ["trial", "p_superiority"], pos="pos")
 
 
