@@ -151,6 +151,17 @@ def test_line_dedup_edges(spark):
     assert line_dedup.drop_repeated_lines(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_line_dedup_hot_line(spark, monkeypatch):
+    """One line of 80 documents is dealt over tasks, ten lines of three documents each are not."""
+    monkeypatch.setattr(line_dedup, "HEAVY", 4)
+    hot, rare = "the same line stands in every one of them", "a line of {} that only three documents hold"
+    rows = [(i, "\n".join([hot, f"own {i}"] + [rare.format(k) for k in range(10) if i // 3 == k])) for i in range(80)]
+    got = {r.doc_id: (r.text, r._n_dropped) for r in line_dedup.drop_repeated_lines(frame(spark, rows)).collect()}
+    for i, text in rows:
+        keep = [x for x in text.split("\n") if x.startswith("own") or (x == hot and i == 79) or (x.startswith("a line") and i % 3 == 2)]
+        assert got[i] == ("\n".join(keep), text.count("\n") + 1 - len(keep))
+
+
 def test_secret_spans(spark):
     rows = [(1, "é password: 'abcdefghijkl' x"), (2, "token: secret: abcdefghijklmnop"), (3, "AKIA" + "A1" * 7 + " AKIAAAA"),
             (4, "api_key=0123456789abcdef01"), (5, "f" * 16 + " " + "f" * 15), (6, None), (7, ""), (8, "xoxb-1234567890abc"), (8, "xoxb-1234567890abc"),

@@ -22,6 +22,9 @@ MIN_CHARS = 20
 MIN_DOCS = 3
 BATCHES = 4
 FANOUT = 2
+#: a key with more than one in HEAVY of all repeated lines is dealt over SALTS tasks; there are fewer than HEAVY of them
+HEAVY = 4096
+SALTS = 64
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -112,8 +115,14 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             part = part.where(F.col("id") >= lower)
         runs.add(part.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("id").alias("keeper")))
         upper = lower
-    repeated = Runs.merged(runs.all()).where(F.col("n") >= min_docs).select("k1", "k2", "keeper")
-    dropped = (keyed.join(repeated, ["k1", "k2"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
+    repeated = cut(Runs.merged(runs.all()).where(F.col("n") >= min_docs))
+    share = repeated.agg(F.sum("n") / HEAVY).scalar()
+    hot = F.col("n") > share
+    salted = keyed.join(F.broadcast(repeated.where(hot).select("k1", "k2", F.lit(SALTS).alias("_salts"))), ["k1", "k2"], "left")
+    salted = salted.withColumn("_salt", F.pmod(F.xxhash64("id", "t", "i"), F.coalesce("_salts", F.lit(1))))
+    salts = F.sequence(F.lit(0).cast("long"), F.when(hot, SALTS - 1).otherwise(0).cast("long"))
+    repeated = repeated.select("k1", "k2", "keeper", F.explode(salts).alias("_salt"))
+    dropped = (salted.join(repeated, ["k1", "k2", "_salt"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
                .groupBy("id", "t").agg(F.sort_array(F.collect_set("i")).alias("_gone")))
     joined = docs.withColumn("_t", F.xxhash64(text_col)).join(
         dropped.withColumnsRenamed({"id": "_id", "t": "_t2"}),
