@@ -110,3 +110,14 @@ def test_mixture_recovers_share(spark):
     df = spark.createDataFrame(rows, "g string, x double, y double")
     r = H.mixture_fit(df, ["g"], "y", "x", const=0.0, iters=25).first()
     assert abs(r.share - 0.7) < 0.08 and abs(r.b - 0.8) < 0.1
+
+
+def test_waic_of_far_apart_draws(spark):
+    ll = {1: [-3.0, -2000.0, -511.9, -512.1], 2: [-90000.25, -90001.5], 3: [700.0, 1100.0, 1100.5]}
+    df = spark.createDataFrame([(o, x) for o, xs in ll.items() for x in xs], "obs int, ll double")
+    got = {r.obs: r for r in G.waic_pointwise(df, ["obs"]).collect()}
+    for o, xs in ll.items():
+        x = np.array(xs)
+        lppd = x.max() + np.log(np.exp(x - x.max()).sum()) - np.log(len(x))
+        assert abs(got[o].lppd - lppd) < 1e-9 and math.isclose(got[o].p_waic, x.var(ddof=1), rel_tol=1e-9)
+    assert G.waic_pointwise(df.limit(1), ["obs"]).first().p_waic is None

@@ -233,12 +233,22 @@ def pit_residuals(pred: DataFrame, obs_keys: Sequence[str], y: str, prediction:
 
 # G18 / H14 -------------------------------------------------------------------
 def waic_pointwise(loglik: DataFrame, obs_keys: Sequence[str], ll: str = "ll") -> DataFrame:
-    """Per observation: lppd = logsumexp(ll) - ln S, p_waic = var(ll) over draws."""
-    m = loglik.groupBy(*obs_keys).agg(F.max(ll).alias("_m"))
-    j = loglik.join(m, list(obs_keys))
-    return j.groupBy(*obs_keys).agg(
-        (F.first("_m") + F.ln(F.sum(F.exp(F.col(ll) - F.col("_m")))) - F.ln(F.count(F.lit(1)).cast("double"))).alias("lppd"),
-        F.var_samp(ll).alias("p_waic"))
+    """Per observation: lppd = logsumexp(ll) - ln S, p_waic = var(ll) over draws.
+
+    Draws are summed map-side in bands of 512 log units, within which exp() cannot vanish; an observation's few
+    bands are then put together, so trials x draws rows are neither shuffled nor joined to their maximum.
+    """
+    bands = loglik.withColumn("_top", F.ceil(F.col(ll) / 512) * 512.0).groupBy(*obs_keys, "_top").agg(
+        F.sum(F.exp(F.col(ll) - F.col("_top"))).alias("_e"), F.count(F.lit(1)).alias("_n"),
+        F.avg(ll).alias("_a"), F.var_pop(ll).alias("_v"))
+    obs = Window.partitionBy(*obs_keys)
+    bands = bands.withColumns({"_m": F.max("_top").over(obs),
+                               "_mean": F.sum(F.col("_n") * F.col("_a")).over(obs) / F.sum("_n").over(obs)})
+    spread = F.sum(F.col("_n") * (F.col("_v") + (F.col("_a") - F.col("_mean")) ** 2))
+    n = F.sum("_n")
+    return bands.groupBy(*obs_keys).agg(
+        (F.max("_m") + F.ln(F.sum(F.col("_e") * F.exp(F.col("_top") - F.col("_m")))) - F.ln(n.cast("double"))).alias("lppd"),
+        F.when(n > 1, spread / (n - 1)).alias("p_waic"))
 
 
 def waic(loglik: DataFrame, obs_keys: Sequence[str], ll: str = "ll", model_key: Sequence[str] = ()) -> DataFrame:

@@ -186,13 +186,10 @@ def h13(spark, sf):
 def h14(spark, sf):
     """WAIC of the cell LLO model vs the same model with slopes fixed at 1, and the difference."""
     m = model(spark, sf).select("event_id", "condition", "sd_diff", "means", "lo_ground_truth", "lo_p_sup")
-    d = G.take_draws(G.by_draw(X.draws_long(spark, sf)), 100)
+    coefs = G.cell_coefficients(G.by_draw(X.draws_long(spark, sf)))
     cell = G.cell_index(levels=X.CONDITIONS)
-    fa = G.fitted_draws(m.select("event_id", "lo_p_sup", "condition", "sd_diff", "means", "lo_ground_truth"), d,
-                        G.llo_design(cell, F.col("lo_ground_truth")), value="mu", small="draws")
-    fb = G.fitted_draws(m.select("event_id", "lo_p_sup", "condition", "sd_diff", "means", "lo_ground_truth"), d,
-                        F.array(F.struct((cell * 2).cast("int").alias("term"), F.lit(1.0).alias("x"))), value="mu",
-                        small="draws").withColumn("mu", F.col("mu") + F.col("lo_ground_truth"))
+    fa = G.fitted_by_cell(m, coefs, cell, "lo_ground_truth", value="mu").select("event_id", "lo_p_sup", "mu")
+    fb = G.fitted_by_cell(m, coefs.withColumn("b1", F.lit(1.0)), cell, "lo_ground_truth", value="mu").select("event_id", "lo_p_sup", "mu")
     ll = (fa.withColumn("model", F.lit("llo")).unionByName(fb.withColumn("model", F.lit("unbiased")))
           .withColumn("ll", norm_logpdf("lo_p_sup", "mu", 1.0)))
     w = G.waic(ll, ["event_id"], model_key=["model"])

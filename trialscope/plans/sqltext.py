@@ -203,26 +203,25 @@ cte("psy_dec", """
          CASE WHEN slope = 0 THEN NULL ELSE ln(3.0) / slope END AS jnd
   FROM stats_dec""", ["stats_dec"])
 
-cte("draws100", """
+for _n in (100, 500):
+    cte(f"draws{_n}", f"""
   SELECT * FROM draws WHERE draw IN (SELECT draw FROM (SELECT DISTINCT draw FROM draws)
-    ORDER BY md5(CAST(draw AS VARCHAR) || '|1234') LIMIT 100)""", ["draws"])
+    ORDER BY md5(CAST(draw AS VARCHAR) || '|1234') LIMIT {_n})""", ["draws"])
 
-cte("pred_trials", f"""
-  SELECT m.event_id, m.lo_p_sup, d.draw, sum(m.x * d.beta) AS mu
-  FROM (SELECT event_id, lo_p_sup, 2*{CELL} AS term, 1.0::DOUBLE AS x FROM model
-        UNION ALL SELECT event_id, lo_p_sup, 2*{CELL}+1 AS term, lo_ground_truth AS x FROM model) m
-  JOIN draws100 d USING (term)
-  GROUP BY m.event_id, m.lo_p_sup, d.draw""", ["model", "draws100"])
 
 def normal_sql(*cols: str, seed: int = 1234) -> str:
     """Box-Muller standard normal from two hashed uniforms, as ``draws.hash_normal``."""
     return f"(sqrt(-2.0 * ln({u_sql(*cols, seed=seed)})) * cos(6.283185307179586 * {u_sql(*cols, seed=seed + 1)}))"
 
 
-cte("pred_trials_u", f"""
-  SELECT *, {normal_sql('event_id', 'draw')} AS zn FROM pred_trials""", ["pred_trials"])
-
-cte("pred_trials_y", f"""
-  SELECT event_id, lo_p_sup, draw, mu, mu + 1.0 * zn AS prediction,
+# predictions of every trial from all draws, and from the 500 of the residual check
+for _name, _draws in (("pred_trials", "draws"), ("pit_trials", "draws500")):
+    cte(_name, f"""
+  SELECT m.event_id, m.lo_p_sup, a.draw, a.beta + m.lo_ground_truth * b.beta AS mu
+  FROM (SELECT *, 2*{CELL} AS term FROM model) m JOIN {_draws} a ON a.term = m.term
+  JOIN {_draws} b ON b.term = m.term + 1 AND b.draw = a.draw""", ["model", _draws])
+    cte(f"{_name}_y", f"""
+  SELECT event_id, lo_p_sup, draw, mu, mu + 1.0 * {normal_sql('event_id', 'draw')} AS prediction,
          -0.5*(lo_p_sup - mu)*(lo_p_sup - mu) - 0.9189385332046727 AS ll
-  FROM pred_trials_u""", ["pred_trials_u"])
+  FROM {_name}""", [_name])
+
