@@ -121,3 +121,10 @@ def test_waic_of_far_apart_draws(spark):
         lppd = x.max() + np.log(np.exp(x - x.max()).sum()) - np.log(len(x))
         assert abs(got[o].lppd - lppd) < 1e-9 and math.isclose(got[o].p_waic, x.var(ddof=1), rel_tol=1e-9)
     assert G.waic_pointwise(df.limit(1), ["obs"]).first().p_waic is None
+
+
+def test_noise_differs_by_every_part_of_a_grid_row(spark):
+    rows = [(c, t, d, 0.0) for c in range(4) for t in range(3) for d in range(5)]
+    df = spark.createDataFrame(rows, "cell int, ti int, draw int, value double")
+    got = {r.prediction for r in G.predicted_draws(df, ["cell", "ti"], 1.0, seed=99).collect()}
+    assert len(got) == len(rows)
