@@ -52,7 +52,9 @@ def a3(spark, sf):
 def a5(spark, sf):
     """LLO fit per condition kept as parquet in the shared scratch area and reused from there."""
     fit = H.llo_fit(model(spark, sf), ["condition"])
-    return A.persist_fit(fit, A.scratch_path(spark, "llo_fit"))
+    path = A.scratch_path(spark, "llo_fit")
+    A.persist_fit(fit, path)
+    return A.persist_fit(fit, path)  # reads the stored fit
 
 
 @query("C2_join_draw_stats", with_ctes(

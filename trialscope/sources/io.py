@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -76,14 +77,18 @@ def literal_df(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame
 
 
 def persist_fit(df: DataFrame, path: str, reuse: bool = True) -> DataFrame:
-    """A5: keep fitted coefficients / draws as parquet and read them back when present."""
+    """A5: keep fitted coefficients / draws as parquet and read them back when present.
+
+    Only an absent path leads to a write; a stored fit that cannot be read raises and is left as it is.
+    """
     spark = df.sparkSession
     if reuse:
         try:
             return spark.read.parquet(path)
-        except Exception:  # noqa: BLE001 - absent path: compute and write
-            pass
-    df.write.mode("overwrite").parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    df.write.mode("errorifexists" if reuse else "overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
