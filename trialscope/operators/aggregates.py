@@ -81,12 +81,15 @@ def mean_error_reflected(df: DataFrame, keys: Sequence[str] = ("condition",)) ->
 
 # D9 ------------------------------------------------------------------------
 def worker_quality(df: DataFrame, worker: str = "worker_id") -> DataFrame:
-    """Per-worker exclusion signals."""
+    """Per-worker exclusion signals. One value only is told by the extremes and the number of NULLs (a value too),
+    which leaves a single distinct count: the rows are not expanded."""
+    answered, rows = F.count("intervene"), F.count(F.lit(1))
+    one_value = (answered == 0) | ((answered == rows) & (F.min("intervene") == F.max("intervene")))
     return df.groupBy(worker).agg(
         F.sum(B.failed_check().cast("int")).cast("long").alias("failed_attention_checks"),
         n_distinct("p_superiority").alias("unique_p_sup"),
-        (n_distinct("intervene") == 1).alias("speeding_intervene"),
-        (F.sum((F.col("p_superiority") < 50).cast("int")) / F.count(F.lit(1))).alias("p_sup_less_than_50"))
+        one_value.alias("speeding_intervene"),
+        (F.sum((F.col("p_superiority") < 50).cast("int")) / rows).alias("p_sup_less_than_50"))
 
 
 # D10 -----------------------------------------------------------------------
