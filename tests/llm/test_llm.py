@@ -288,6 +288,17 @@ def test_nearest_neighbours(spark):
     assert hit / total >= 0.9 and not set(out.query_id) & {20_000, 20_100, 20_200}
 
 
+def test_neighbours_beyond_the_sample_are_introduced_later(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "PART", 8, raising=False)
+    x = np.random.default_rng(5).normal(size=(400, 8))
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, v array<double>")
+    graph = nn_descent.build(nodes, 10, sample=1).toPandas()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    near = {(a, b) for a, row in enumerate(np.argsort(d, axis=1)[:, :10].tolist()) for b in row}
+    assert len(near & set(zip(graph.a, graph.b))) >= 0.98 * len(near)
+
+
 @pytest.mark.parametrize("size", [8 << 20, 60_000])
 def test_deleted_interpolation(spark, groups_of, size):
     groups_of(size)
