@@ -215,6 +215,20 @@ def collect_first(df: DataFrame, keys: Sequence[str], order: Sequence, col: str,
             .select(*keys, F.transform("_s", lambda s: s[col]).alias(col)))
 
 
+#: positions of a group that one list of ``collect_chunks`` holds
+CHUNK = 1024
+
+
+def collect_chunks(df: DataFrame, keys: Sequence[str], order: Sequence, cols: Sequence[str], size: int | None = None) -> DataFrame:
+    """All values of each group in an explicit order: ``cols`` as equal-length arrays of at most ``size`` (``CHUNK``)
+    values, one row per (group, chunk), with ``offset``, the number of the group's rows before the chunk."""
+    size = size or CHUNK
+    ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return (ranked.groupBy(*keys, (F.col("_rn") - 1 - (F.col("_rn") - 1) % size).alias("offset"))
+            .agg(F.sort_array(F.collect_list(F.struct("_rn", *cols))).alias("_s"))
+            .select(*keys, "offset", *[F.col("_s").getField(c).alias(c) for c in cols]))
+
+
 # D22 ------------------------------------------------------------------------
 def quantiles(df: DataFrame, col: str, ps: Sequence[float], keys: Sequence[str] = (), prefix: str = "q") -> DataFrame:
     """Exact type-7 quantiles (R default) per group, one column per probability.

@@ -483,9 +483,9 @@ def e9(spark, sf):
     "row_number() OVER (PARTITION BY worker_id ORDER BY trial) AS rn FROM trials)", "trials"))
 def e10(spark, sf):
     t = B.clean_trials(X.responses(spark, sf))
-    firsts = D.collect_first(t, ["worker_id"], ["trial"], "p_superiority", 2**31 - 1) \
-        .join(D.collect_first(t, ["worker_id"], ["trial"], "trial", 2**31 - 1), "worker_id")
-    return E.unnest(firsts, ["trial", "p_superiority"], pos="pos")
+    lists = D.collect_chunks(t, ["worker_id"], ["trial"], ["trial", "p_superiority"])
+    rows = E.unnest(lists, ["trial", "p_superiority"], pos="pos")
+    return rows.select("worker_id", (F.col("offset") + F.col("pos")).alias("pos"), "trial", "p_superiority")
 
 
 @query("E11_spread_draws", with_ctes(
