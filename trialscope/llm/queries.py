@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import interpolation, line_dedup, mixing, nn_descent, phrase_automata, pieces, quality_crf, secret_scan, simhash, substring_array
+from . import (interpolation, line_dedup, mixing, nn_descent, phrase_automata, pieces, quality_crf, secret_scan, simhash,
+               substring_array, token_counts)
 from .oracles import LINES_SQL, MIX_SQL, SECRETS_SQL
-from .parameters import MIX, MIX_SEED, piece_model
+from .parameters import MIX, MIX_SEED, byte_vocabulary, piece_model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -97,6 +98,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+@query
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir), token_counts.prove(byte_vocabulary()))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
