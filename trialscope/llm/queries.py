@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import (interpolation, line_dedup, mixing, nn_descent, phrase_automata, pieces, quality_crf, secret_scan, simhash,
+from . import (interpolation, line_dedup, merkle, mixing, nn_descent, phrase_automata, pieces, quality_crf, secret_scan, simhash,
                substring_array, token_counts)
-from .oracles import LINES_SQL, MIX_SQL, SECRETS_SQL
+from .oracles import LINES_SQL, LOWER, MIX_SQL, SECRETS_SQL, UPPER
 from .parameters import MIX, MIX_SEED, byte_vocabulary, piece_model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,6 +103,18 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), token_counts.prove(byte_vocabulary()))
 
 
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fields = documents(spark, sf_dir), ["doc_id", "source", "lang", "n_chars", "text"]
+    plain = F.octet_length("text") == F.char_length("text")
+    lowered = F.when(plain, F.lower("text")).otherwise(F.translate("text", UPPER, LOWER))
+    tampered = merkle.digest(*(lowered if f == "text" else F.col(f) for f in fields))
+    docs = docs.withColumn("presented", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, tampered))
+    out = merkle.proofs(merkle.manifest(docs, fields, "source", "doc_id", F.col("presented")))
+    return out.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(F.col("proof").cast("binary"), 256).alias("proof_sha256"),
+                      "folded_root", "verified")
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
