@@ -96,3 +96,50 @@ SELECT doc_id, domain, lang, source, n_tokens, unnest(range(0, copies))::BIGINT
 
 #: the weights, share, epochs and seed of the registered query
 MIX_SQL = mix_sql("documents", MIX, (1, 2), 2, MIX_SEED)
+
+
+#: CTE ``crc_table``: the 256 steps of CRC-32 (reflected polynomial) as one list t
+CRC_TABLE = """crc_table AS (
+  SELECT list_transform(range(256), lambda b: list_reduce([b] || list_transform(range(8), lambda x: 0::BIGINT),
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+
+
+def crc32_sql(codes: str) -> str:
+    """Unsigned CRC-32 of a list of byte values, with ``crc_table``'s t in scope."""
+    return f"xor(list_reduce([4294967295::BIGINT] || {codes}, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)"
+
+
+def _merkle_sql() -> str:
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+                                       for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    up = """SELECT g, lvl + 1, idx // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY idx)) FROM {0}
+    WHERE n > 1 GROUP BY g, lvl, idx // 16, n"""
+    return f"""
+WITH RECURSIVE {CRC_TABLE},
+h AS (SELECT doc_id, source, {leaf('text')} AS leaf, {leaf('low')} AS lowered,
+    {crc32_sql("list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)")} % 5 = 0 AS touched
+  FROM (SELECT *, translate(text, '{UPPER}', '{LOWER}') AS low FROM documents), crc_table),
+l AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, count(*) OVER (PARTITION BY source) AS n,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM h),
+low AS (SELECT g, 0 AS lvl, idx, n, leaf AS digest FROM l UNION ALL {up.format('low')}),
+high AS (SELECT 0::BIGINT AS g, 0 AS lvl, g AS idx, (SELECT count(DISTINCT g) FROM l) AS n, digest FROM low WHERE n = 1
+  UNION ALL {up.format('high')}),
+runs AS (SELECT tree, g, lvl, idx // 16 AS run, list(digest ORDER BY idx) AS nodes
+  FROM (SELECT 0 AS tree, * FROM low UNION ALL SELECT 1, * FROM high) WHERE n > 1 GROUP BY ALL),
+f AS (
+  SELECT doc_id, leaf, g AS home, 0 AS tree, g, 0 AS lvl, idx, n, CASE WHEN touched THEN lowered ELSE leaf END AS node, '' AS proof FROM l
+  UNION ALL
+  SELECT doc_id, leaf, home, CASE WHEN f.n = 1 THEN 1 ELSE f.tree END, CASE WHEN f.n = 1 THEN 0 ELSE f.g END,
+    CASE WHEN f.n = 1 THEN 0 ELSE f.lvl + 1 END, CASE WHEN f.n = 1 THEN f.g ELSE f.idx // 16 END,
+    CASE WHEN f.n = 1 THEN (SELECT count(DISTINCT g) FROM l) ELSE (f.n + 15) // 16 END,
+    CASE WHEN f.n = 1 THEN node ELSE sha256(array_to_string(nodes[1:f.idx % 16], '') || node || array_to_string(nodes[f.idx % 16 + 2:], '')) END,
+    CASE WHEN f.n = 1 THEN proof ELSE proof || array_to_string(nodes[1:f.idx % 16], '') || array_to_string(nodes[f.idx % 16 + 2:], '') END
+  FROM f LEFT JOIN runs r ON r.tree = f.tree AND r.g = f.g AND r.lvl = f.lvl AND r.run = f.idx // 16 AND f.n > 1
+  WHERE f.tree = 0 OR f.n > 1)
+SELECT doc_id, leaf, s.digest AS subroot, t.digest AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = t.digest AS verified
+FROM f JOIN low s ON s.g = f.home AND s.n = 1 JOIN high t ON t.n = 1 WHERE f.tree = 1 AND f.n = 1"""
+
+
+MERKLE_SQL = _merkle_sql()

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from . import (interpolation, line_dedup, merkle, mixing, nn_descent, phrase_automata, pieces, quality_crf, secret_scan, simhash,
-               substring_array, token_counts)
-from .oracles import LINES_SQL, LOWER, MIX_SQL, SECRETS_SQL, UPPER
+               spelling, substring_array, token_counts)
+from .oracles import LINES_SQL, LOWER, MERKLE_SQL, MIX_SQL, SECRETS_SQL, UPPER
 from .parameters import MIX, MIX_SEED, byte_vocabulary, piece_model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,6 +98,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(documents(spark, sf_dir)))
+
+
 @query
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), token_counts.prove(byte_vocabulary()))
@@ -120,4 +125,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-ORACLE |= {"op3_line_dedup": LINES_SQL, "op4_secret_scan": SECRETS_SQL, "op5_mixing": MIX_SQL}
+ORACLE |= {"op3_line_dedup": LINES_SQL, "op4_secret_scan": SECRETS_SQL, "op5_mixing": MIX_SQL, "op13_merkle_manifest": MERKLE_SQL}
