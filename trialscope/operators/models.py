@@ -13,19 +13,12 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialscope.functions.normal import LOGIT_075, _col, norm_logpdf, plogis, pnorm, qlogis
-from trialscope.session import cut_lineage
-
-SQRT_2PI = math.sqrt(2 * math.pi)
-
-
-def dnorm(x) -> Column:
-    x = _col(x)
-    return F.exp(-x * x / 2.0) / SQRT_2PI
-
+from trialscope.functions.normal import qlogis
+from trialscope.operators.fits import (ORDINAL_FORMS, censored_fit, glm2_fit, heuristic_shares, logit_fit, mixture_fit,  # noqa: F401
+                                       ordinal_fit, probit_fit)
 
 # H1 ------------------------------------------------------------------------
 def llo_fit(df: DataFrame, keys: Sequence[str], y: str = "lo_p_sup", x: str = "lo_ground_truth") -> DataFrame:
@@ -116,127 +109,6 @@ def llo_shrink(df: DataFrame, worker: str = "worker_id", y: str = "lo_p_sup", x:
     return j.select(*keys, worker, "slope", "intercept", "n", "v", "mu", "tau2", shrunk.alias("slope_shrunk"))
 
 
-# H5 / H6 -------------------------------------------------------------------
-def glm2_fit(df: DataFrame, keys: Sequence[str], y: str, x: str, link: str = "logit", iters: int = 8,
-             checkpoint_every: int = 1) -> DataFrame:
-    """Two-parameter GLM (intercept, slope) per group by IRLS; every iteration is one
-    grouped aggregate of weighted sums and a closed-form 2 x 2 solve in columns.
-
-    The coefficient table (one row per group) is joined back each iteration; lineage is
-    cut with a reliable checkpoint every few iterations.
-    """
-    pooled = not keys
-    keys = list(keys) or ["_g"]
-    if pooled:  # one group: a constant key keeps it an equi-join
-        df = df.withColumn("_g", F.lit(0))
-    # Iterations re-read the narrow, materialised input, not the upstream pipeline; the
-    # null filter comes after the cut so it is not pushed into large upstream expressions.
-    data = cut_lineage(df.select(*keys, F.col(y).cast("double").alias("_y"), F.col(x).cast("double").alias("_x")))
-    data = data.filter(F.col("_y").isNotNull() & F.col("_x").isNotNull())
-    coef = data.groupBy(*keys).agg(F.lit(0.0).alias("b0"), F.lit(0.0).alias("b1"), F.count(F.lit(1)).alias("n"))
-    for it in range(iters):
-        j = data.join(coef, keys, "inner")
-        eta = F.col("b0") + F.col("b1") * F.col("_x")
-        j = j.withColumn("_eta", eta)
-        if link == "logit":
-            mu = plogis("_eta")
-            j = j.withColumn("_mu", F.least(F.greatest(mu, F.lit(1e-12)), F.lit(1 - 1e-12)))
-            j = j.withColumn("_d", F.col("_mu") * (1 - F.col("_mu")))
-            w = F.col("_d")
-        else:  # probit
-            j = j.withColumn("_mu", F.least(F.greatest(pnorm("_eta"), F.lit(1e-12)), F.lit(1 - 1e-12)))
-            j = j.withColumn("_d", F.greatest(dnorm("_eta"), F.lit(1e-300)))
-            w = F.col("_d") * F.col("_d") / (F.col("_mu") * (1 - F.col("_mu")))
-        z = F.col("_eta") + (F.col("_y") - F.col("_mu")) / F.col("_d")
-        j = j.withColumns({"_w": w, "_z": z})
-        s = j.groupBy(*keys).agg(F.sum("_w").alias("sw"), F.sum(F.col("_w") * F.col("_x")).alias("sx"),
-                                 F.sum(F.col("_w") * F.col("_z")).alias("sy"),
-                                 F.sum(F.col("_w") * F.col("_x") * F.col("_x")).alias("sxx"),
-                                 F.sum(F.col("_w") * F.col("_x") * F.col("_z")).alias("sxy"),
-                                 F.count(F.lit(1)).alias("n"))
-        b0, b1 = _ols2(F.col("sw"), F.col("sx"), F.col("sy"), F.col("sxx"), F.col("sxy"))
-        coef = s.select(*keys, F.coalesce(b0, F.lit(0.0)).alias("b0"), F.coalesce(b1, F.lit(0.0)).alias("b1"), "n")
-        if checkpoint_every and (it + 1) % checkpoint_every == 0:
-            coef = cut_lineage(coef)
-    coef = coef.withColumnsRenamed({"b0": "intercept", "b1": "slope"})
-    return coef.drop("_g") if pooled else coef
-
-
-def logit_fit(df: DataFrame, keys: Sequence[str] = (), y: str = "intervene", x: str = "evidence", iters: int = 8) -> DataFrame:
-    """Logistic decision model per group, with PSE and JND from its coefficients."""
-    c = glm2_fit(df, keys, y, x, "logit", iters)
-    return c.withColumns({"pse": F.try_divide(-F.col("intercept"), F.col("slope")),
-                          "jnd": F.try_divide(F.lit(LOGIT_075), F.col("slope"))})
-
-
-def probit_fit(df: DataFrame, keys: Sequence[str] = (), y: str = "intervene", x: str = "evidence", iters: int = 8) -> DataFrame:
-    return glm2_fit(df, keys, y, x, "probit", iters)
-
-
-# H7 ------------------------------------------------------------------------
-def ordinal_fit(df: DataFrame, y: str, x: str, k: int = 3, iters: int = 10) -> dict[str, float]:
-    """Cumulative-logit ordinal model P(Y <= j) = plogis(theta_j - beta x), fitted as the
-    stacked binary logistic over the K - 1 thresholds (pooled IRLS; p x p sums to the driver)."""
-    st = df.select(F.col(y).cast("int").alias("_y"), F.col(x).cast("double").alias("_x")) \
-        .withColumn("_j", F.explode(F.sequence(F.lit(1), F.lit(k - 1)))) \
-        .withColumn("_b", (F.col("_y") <= F.col("_j")).cast("double"))
-    st = cut_lineage(st)
-    feats = {f"theta_{j}": (F.col("_j") == j).cast("double") for j in range(1, k)}
-    feats["neg_beta"] = -F.col("_x")
-    beta = np.zeros(len(feats))
-    names = list(feats)
-    for _ in range(iters):
-        eta = F.lit(0.0)
-        for i, n in enumerate(names):
-            eta = eta + feats[n] * F.lit(float(beta[i]))
-        t = st.withColumn("_eta", eta)
-        t = t.withColumn("_mu", F.least(F.greatest(plogis("_eta"), F.lit(1e-12)), F.lit(1 - 1e-12)))
-        t = t.withColumn("_w", F.col("_mu") * (1 - F.col("_mu")))
-        t = t.withColumn("_z", F.col("_eta") + (F.col("_b") - F.col("_mu")) / F.col("_w"))
-        xtx, xty, _ = normal_equations(t, [feats[n] for n in names], F.col("_z"), F.col("_w"))
-        beta = np.linalg.solve(xtx, xty)
-    out = dict(zip(names, beta.tolist()))
-    out["beta"] = out.pop("neg_beta")
-    return out
-
-
-# H8 ------------------------------------------------------------------------
-def mixture_fit(df: DataFrame, keys: Sequence[str], y: str = "lo_p_sup", x: str = "lo_ground_truth",
-                const: float = 0.0, iters: int = 15) -> DataFrame:
-    """Two components per group: the LLO line, or a constant answer (``const`` in log odds).
-
-    EM with responsibilities as a column; each M-step is one grouped aggregate of weighted
-    sums (weighted 2-parameter fit for the line, weighted spread for the constant).
-    """
-    keys = list(keys)
-    data = cut_lineage(df.select(*keys, F.col(y).alias("_y"), F.col(x).alias("_x")))
-    init = data.groupBy(*keys).agg(F.regr_intercept("_y", "_x").alias("a"), F.regr_slope("_y", "_x").alias("b"),
-                                   F.stddev_samp("_y").alias("s1"), F.stddev_samp("_y").alias("s0"),
-                                   F.lit(0.5).alias("share"))
-    par = init
-    for it in range(iters):
-        j = data.join(par, keys, "inner")
-        l1 = F.col("share") * F.exp(norm_logpdf("_y", F.col("a") + F.col("b") * F.col("_x"), "s1"))
-        l0 = (1 - F.col("share")) * F.exp(norm_logpdf("_y", F.lit(const), "s0"))
-        j = j.withColumn("_r", F.coalesce(F.try_divide(l1, l1 + l0), F.lit(0.5)))
-        r = F.col("_r")
-        s = j.groupBy(*keys).agg(
-            F.sum(r).alias("sw"), F.sum(r * F.col("_x")).alias("sx"), F.sum(r * F.col("_y")).alias("sy"),
-            F.sum(r * F.col("_x") * F.col("_x")).alias("sxx"), F.sum(r * F.col("_x") * F.col("_y")).alias("sxy"),
-            F.sum(r * F.col("_y") * F.col("_y")).alias("syy"), F.sum(1 - r).alias("w0"),
-            F.sum((1 - r) * (F.col("_y") - const) * (F.col("_y") - const)).alias("ss0"), F.count(F.lit(1)).alias("n"))
-        a, b = _ols2(F.col("sw"), F.col("sx"), F.col("sy"), F.col("sxx"), F.col("sxy"))
-        s = s.withColumns({"a": a, "b": b})
-        rss1 = (F.col("syy") - 2 * F.col("a") * F.col("sy") - 2 * F.col("b") * F.col("sxy") + F.col("a") * F.col("a") * F.col("sw")
-                + 2 * F.col("a") * F.col("b") * F.col("sx") + F.col("b") * F.col("b") * F.col("sxx"))
-        par = s.select(*keys, "a", "b",
-                       F.greatest(F.sqrt(F.greatest(rss1, F.lit(0.0)) / F.col("sw")), F.lit(1e-3)).alias("s1"),
-                       F.greatest(F.sqrt(F.col("ss0") / F.greatest(F.col("w0"), F.lit(1e-9))), F.lit(1e-3)).alias("s0"),
-                       (F.col("sw") / F.col("n")).alias("share"))
-        par = cut_lineage(par)
-    return par
-
-
 # H9 ------------------------------------------------------------------------
 def _poisson1_cuts(kmax: int = 8) -> list[float]:
     cdf, p, cuts = 0.0, math.exp(-1.0), []
@@ -280,38 +152,6 @@ def bootstrap_draws(df: DataFrame, keys: Sequence[str], n: int, seed: int = 7, w
     return s.select(*keys, "draw", a.alias("intercept"), b.alias("slope"))
 
 
-# H10 -----------------------------------------------------------------------
-def censored_fit(df: DataFrame, keys: Sequence[str], y: str, x: str, lo: float, hi: float, iters: int = 20) -> DataFrame:
-    """Tobit (censored normal) linear fit by EM: censored answers are replaced by their
-    conditional mean / second moment given the current fit, then a weighted 2-parameter fit."""
-    keys = list(keys)
-    data = cut_lineage(df.select(*keys, F.col(y).alias("_y"), F.col(x).alias("_x")))
-    par = data.groupBy(*keys).agg(F.regr_intercept("_y", "_x").alias("a"), F.regr_slope("_y", "_x").alias("b"),
-                                  F.stddev_samp("_y").alias("s"))
-    for it in range(iters):
-        j = data.join(par, keys, "inner").withColumn("_m", F.col("a") + F.col("b") * F.col("_x"))
-        j = j.withColumns({"_al": (F.lit(lo) - F.col("_m")) / F.col("s"), "_ah": (F.lit(hi) - F.col("_m")) / F.col("s")})
-        j = j.withColumns({"_pl": F.greatest(pnorm("_al"), F.lit(1e-300)),
-                           "_ph": F.greatest(F.lit(1.0) - pnorm("_ah"), F.lit(1e-300))})
-        lam_l = -dnorm("_al") / F.col("_pl")  # E[z | z < al]
-        lam_h = dnorm("_ah") / F.col("_ph")   # E[z | z > ah]
-        ey = (F.when(F.col("_y") <= lo, F.col("_m") + F.col("s") * lam_l)
-              .when(F.col("_y") >= hi, F.col("_m") + F.col("s") * lam_h).otherwise(F.col("_y")))
-        vy = (F.when(F.col("_y") <= lo, F.col("s") ** 2 * (1 + F.col("_al") * lam_l - lam_l * lam_l))
-              .when(F.col("_y") >= hi, F.col("s") ** 2 * (1 + F.col("_ah") * lam_h - lam_h * lam_h)).otherwise(0.0))
-        j = j.withColumns({"_ey": ey, "_vy": vy})
-        s = j.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("sw"), F.sum("_x").alias("sx"), F.sum("_ey").alias("sy"),
-                                 F.sum(F.col("_x") * F.col("_x")).alias("sxx"), F.sum(F.col("_x") * F.col("_ey")).alias("sxy"),
-                                 F.sum(F.col("_ey") * F.col("_ey") + F.col("_vy")).alias("syy"))
-        a, b = _ols2(F.col("sw"), F.col("sx"), F.col("sy"), F.col("sxx"), F.col("sxy"))
-        s = s.withColumns({"a": a, "b": b})
-        rss = (F.col("syy") - 2 * F.col("a") * F.col("sy") - 2 * F.col("b") * F.col("sxy") + F.col("a") ** 2 * F.col("sw")
-               + 2 * F.col("a") * F.col("b") * F.col("sx") + F.col("b") ** 2 * F.col("sxx"))
-        par = s.select(*keys, "a", "b", F.sqrt(F.greatest(rss / F.col("sw"), F.lit(1e-12))).alias("s"))
-        par = cut_lineage(par)
-    return par.withColumnsRenamed({"a": "intercept", "b": "slope", "s": "sigma"})
-
-
 # H4 ------------------------------------------------------------------------
 def log_sigma_fit(df: DataFrame, mean_features: dict[str, Column], sigma_features: dict[str, Column],
                   y: str = "lo_p_sup") -> dict[str, dict[str, float]]:
@@ -324,30 +164,6 @@ def log_sigma_fit(df: DataFrame, mean_features: dict[str, Column], sigma_feature
     return {"mean": mean_c, "log_sigma": {k: v / 2.0 for k, v in sig.items()}}
 
 
-# H12 -----------------------------------------------------------------------
-def heuristic_shares(long: DataFrame, worker: str = "worker_id", trial: str = "event_id", heuristic: str = "heuristic",
-                     estimate: str = "estimate", answer: str = "answer", sigma: float = 10.0, iters: int = 20) -> DataFrame:
-    """Share of trials explained by each heuristic, per worker, by EM on the mixture
-    sum_k pi_k N(answer | estimate_k, sigma): log-sum-exp over heuristics per trial."""
-    data = long.select(worker, trial, heuristic, F.col(estimate).alias("_e"), F.col(answer).alias("_a"))
-    ll = norm_logpdf("_a", "_e", sigma)
-    data = cut_lineage(data.withColumn("_ll", ll))
-    ks = data.select(worker, heuristic).distinct()
-    nk = ks.groupBy(worker).agg(F.count(F.lit(1)).alias("_k"))
-    pi = ks.join(nk, worker).select(worker, heuristic, (F.lit(1.0) / F.col("_k")).alias("share"))
-    for it in range(iters):
-        j = data.join(pi, [worker, heuristic]).withColumn("_lp", F.ln(F.col("share")) + F.col("_ll"))
-        wt = Window.partitionBy(worker, trial)
-        m = F.max("_lp").over(wt)
-        j = j.withColumn("_m", m).withColumn("_r", F.exp(F.col("_lp") - F.col("_m")))
-        j = j.withColumn("_r", F.col("_r") / F.sum("_r").over(wt))
-        pi = j.groupBy(worker, heuristic).agg(F.sum("_r").alias("_s"))
-        tot = pi.groupBy(worker).agg(F.sum("_s").alias("_t"))
-        pi = pi.join(tot, worker).select(worker, heuristic, F.greatest(F.col("_s") / F.col("_t"), F.lit(1e-12)).alias("share"))
-        pi = cut_lineage(pi)
-    return pi
-
-
 # H13 -----------------------------------------------------------------------
 def intercept_fit(df: DataFrame, col: str, keys: Sequence[str] = (), binary: bool = False) -> DataFrame:
     """Intercept-only model: mean and sd (gaussian) or log odds of the mean (bernoulli)."""

@@ -18,6 +18,7 @@ from trialscope.operators import reshape as E
 from trialscope.operators import utility as U
 from trialscope.plans.registry import query
 from trialscope.plans.sqltext import u_sql, with_ctes
+from trialscope.session import cut_lineage
 from trialscope.sources import fixtures as X
 
 D_ = "::DOUBLE"
@@ -100,10 +101,16 @@ def _dec(spark, sf):
 
 @query("H5_logit_fit")
 def h5(spark, sf):
-    """Logistic decision model per worker (IRLS, all workers at once), with PSE and JND."""
+    """Logistic decision model per worker (all workers at once, each to its convergence), with PSE and JND."""
     return H.logit_fit(_dec(spark, sf), ["worker_id"])
 
 
+@query("H5_logit_pooled")
+def h5_pooled(spark, sf):
+    """The same model over all trials, with PSE and JND."""
+    return H.logit_fit(_dec(spark, sf))
+
+
 @query("H6_probit_fit")
 def h6(spark, sf):
     return H.probit_fit(_dec(spark, sf), ["condition"])
@@ -111,16 +118,22 @@ def h6(spark, sf):
 
 @query("H7_ordinal_fit")
 def h7(spark, sf):
-    """Cumulative-logit model of the bet class on log-odds truth (pooled)."""
+    """Cumulative, adjacent-category and category-specific logit models of the bet class on truth and condition (pooled)."""
     t = model(spark, sf).withColumn("ordinal_bet", B.ordinal_bet(F.col("p_superiority") * 10))
-    res = H.ordinal_fit(t, "ordinal_bet", "lo_ground_truth", k=3)
-    return H.coefficients_df(spark, res, model="cumulative_logit")
+    features = {"lo_ground_truth": F.col("lo_ground_truth")}
+    conds = {f"cond_{c}": (F.col("condition") == c).cast("double") for c in X.CONDITIONS[1:]}
+    t = cut_lineage(t.select("ordinal_bet", "lo_ground_truth", "condition"))
+    rows = []
+    for form in H.ORDINAL_FORMS:
+        coefs, told = H.ordinal_fit(t, "ordinal_bet", features | conds, 3, form, list(conds))
+        rows += [(form, k, v, told["loglik"], bool(told["converged"]), int(told["iterations"])) for k, v in coefs.items()]
+    return spark.createDataFrame(rows, "model string, term string, estimate double, loglik double, converged boolean, iterations int")
 
 
 @query("H8_mixture_fit")
 def h8(spark, sf):
     """LLO line vs constant answer at 50 %, share of the line per condition."""
-    return H.mixture_fit(model(spark, sf), ["condition"], const=0.0, iters=10)
+    return H.mixture_fit(model(spark, sf), ["condition"], const=0.0)
 
 
 @query("H9_bootstrap_draws", with_ctes(
@@ -142,7 +155,7 @@ def h10(spark, sf):
     t = B.censor(trials(spark, sf).filter(F.col("ground_truth") > 0.5))
     t = t.withColumns({"lo_c": qlogis(F.col("p_sup_censored") / 100.0), "lo_ground_truth": qlogis("ground_truth")})
     return H.censored_fit(t, ["condition"], "lo_c", "lo_ground_truth",
-                          math.log(0.505 / 0.495), math.log(0.995 / 0.005), iters=15)
+                          math.log(0.505 / 0.495), math.log(0.995 / 0.005))
 
 
 @query("H11_llo_prev_fit")
@@ -164,11 +177,12 @@ def _stimuli(spark, sf):
 
 @query("H12_heuristic_shares")
 def h12(spark, sf):
-    """Share of each worker's answers explained by each heuristic (mixture EM)."""
-    h = U.heuristic_table(_stimuli(spark, sf), ["ground_truth", "sd_diff"])
-    t = trials(spark, sf).select("event_id", "worker_id", "ground_truth", "sd_diff", F.col("p_superiority").alias("answer"))
-    long = t.join(h, ["ground_truth", "sd_diff"]).withColumnRenamed("est_cles", "estimate")
-    return H.heuristic_shares(long, iters=10)
+    """Share of answers that each heuristic, guess-one among them, explains: overall, and per worker drawn to the overall shares."""
+    cell = ["ground_truth", "sd_diff"]
+    stim = _stimuli(spark, sf)
+    h = U.heuristic_table(stim, cell).unionByName(stim.select(*cell, F.lit("guess_one").alias("heuristic"), U.h_guess_one().alias("est_cles")))
+    t = trials(spark, sf).select("worker_id", *cell, F.col("p_superiority").alias("answer"))
+    return H.heuristic_shares(t, cut_lineage(h.withColumnRenamed("est_cles", "estimate")), cell)
 
 
 @query("H13_intercept_fit", with_ctes(
