@@ -12,8 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialscope.functions.normal import _col, qlogis, qnorm
+from trialscope.functions.normal import _col, with_qnorm
 from trialscope.operators import clean as B
+from trialscope.operators import ranks
 
 
 def share(cond) -> Column:
@@ -294,15 +295,15 @@ def density_grid(df: DataFrame, col: str, keys: Sequence[str], lo: float, hi: fl
 
 
 # D26 -----------------------------------------------------------------------
-def qq_table(df: DataFrame, col: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Sample quantiles against normal theoretical quantiles qnorm((i - a) / (n + 1 - 2a)), R ``ppoints``."""
-    w = Window.partitionBy(*keys).orderBy(col)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    a = F.when(n <= 10, 3.0 / 8).otherwise(0.5)
-    return (df.filter(F.col(col).isNotNull()).select(*keys, col)
-            .withColumn("_i", F.row_number().over(w)).withColumn("_n", n)
-            .withColumn("theoretical", qnorm((F.col("_i") - a) / (F.col("_n") + 1 - 2 * a)))
-            .select(*keys, F.col(col).alias("sample"), "theoretical"))
+def qq_table(df: DataFrame, col: str, keys: Sequence[str] = (), tie: str | None = None) -> DataFrame:
+    """Sample quantiles against normal theoretical quantiles qnorm((i - a) / (n + 1 - 2a)), R ``ppoints``.
+
+    ``tie``: an id that spreads the rows of a frequent value.
+    """
+    t = ranks.running(df.where(F.col(col).isNotNull()).select(*keys, col, *([tie] if tie else [])), keys, [col, *([tie] if tie else [])])
+    a = F.when(F.col("_total") <= 10, 3.0 / 8).otherwise(0.5)
+    t = t.withColumn("_p", (F.col("_before") + 1 - a) / (F.col("_total") + 1 - 2 * a))
+    return with_qnorm(t, "_p", "theoretical").select(*keys, F.col(col).alias("sample"), "theoretical")
 
 
 # D27 -----------------------------------------------------------------------
@@ -316,12 +317,16 @@ def expected_category(df: DataFrame, keys: Sequence[str], k: str = "category", p
 
 
 # D29 -----------------------------------------------------------------------
-def payoff_table(df: DataFrame, key: str = "baseline", value: str = "expected_payoff", budget: float = 3.0,
-                 start: str = "starting_value") -> DataFrame:
-    """Per baseline: expected and max value, exchange rate to the bonus budget."""
-    agg = df.groupBy(key).agg(F.sum(value).alias("expected_value"), F.sum(F.greatest(F.col(value), F.lit(0.0))).alias("max_value"),
-                              F.first(start, ignorenulls=True).alias("starting_value"))
-    return agg.withColumn("exchange_rate", F.try_divide(F.lit(budget), F.col("max_value") + F.col("starting_value")))
+def payoff_table(df: DataFrame, key: str = "baseline", payoff: str = "expected_payoff", start: str = "starting_value",
+                 most: str = "max_value", budget: float = 2.5) -> DataFrame:
+    """Per ``key``: expected and greatest value of an account, the rate that turns the expected value into the budget, bonuses.
+
+    ``start`` and ``most`` are constants of a key's rows.
+    """
+    g = df.groupBy(key).agg((F.max(start) + F.sum(payoff)).alias("expected_value"), F.max(most).alias("max_value"))
+    g = g.withColumn("exchange_rate", F.bround(F.try_divide(F.lit(budget), F.col("expected_value")), 5))
+    # bonuses at 4 decimals: value x 5-decimal rate has exact ties at the 7th
+    return g.withColumns({f"{n}_bonus": F.bround(F.col(f"{n}_value") * F.col("exchange_rate"), 4) for n in ("expected", "max")})
 
 
 # D30 -----------------------------------------------------------------------
@@ -370,7 +375,3 @@ def overall_performance(responses: DataFrame, listed: Sequence = ()) -> DataFram
         share("correct").alias("proportion_correct"),
         F.countDistinct("worker_id").alias("n_workers"),
         F.count(F.lit(1)).alias("n_trials"))
-
-
-def with_logit(c) -> Column:
-    return qlogis(c)

@@ -8,8 +8,8 @@ Scale: the draw table is hash-partitioned by ``draw`` once; the design side is b
 by the design factors and is broadcast only after its row count is checked (else a
 shuffle join, with AQE's skew handling).  Aggregates keyed by (..., draw) then reuse
 the draw partitioning, so the whole fitted -> contrast -> marginalise chain runs with
-one shuffle of the draws.  Quantiles over draws are exact (R type 7) from frequency
-tables, never by buffering a group.
+one shuffle of the draws.  Quantiles over draws are exact (R type 7) by distributed
+selection (``ranks.quantiles``), never by sorting a whole group.
 """
 from __future__ import annotations
 
@@ -19,7 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialscope.functions.normal import LOGIT_075, _col, plogis, qnorm, with_qnorm
+from trialscope.functions.normal import LOGIT_075, _col, plogis, with_qnorm
+from trialscope.operators import ranks
 
 MAX_BROADCAST_ROWS = 1_000_000
 
@@ -181,28 +182,8 @@ def marginalise(df: DataFrame, keep: Sequence[str], value: str = "value") -> Dat
 
 # G10 / D22 -----------------------------------------------------------------
 def exact_quantiles(df: DataFrame, col: str, ps: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
-    """Exact type-7 quantiles (R default) per group, long form ``(keys, p, q)``.
-
-    Built on the frequency table ``(keys, value, count)``: a partial aggregate before the
-    shuffle, so a hot group costs one row per distinct value, and the running count
-    window sorts distinct values, not rows.
-    """
-    keys = list(keys)
-    freq = df.filter(F.col(col).isNotNull()).groupBy(*keys, F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    freq = (freq.withColumn("_cum", F.sum("_c").over(w))
-            .withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys))))
-    t = freq.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in ps])))
-    h = (F.col("_n") - 1) * F.col("p")
-    lo, hi = F.floor(h), F.ceil(h)
-    start = F.col("_cum") - F.col("_c")
-    t = t.withColumns({"_lo": (start <= lo) & (lo < F.col("_cum")), "_hi": (start <= hi) & (hi < F.col("_cum")),
-                       "_f": h - lo})
-    t = t.filter(F.col("_lo") | F.col("_hi"))
-    g = t.groupBy(*keys, "p").agg(F.max(F.when(F.col("_lo"), F.col("_v"))).alias("_a"),
-                                  F.max(F.when(F.col("_hi"), F.col("_v"))).alias("_b"),
-                                  F.first("_f").alias("_f"))
-    return g.select(*keys, "p", (F.col("_a") + F.col("_f") * (F.col("_b") - F.col("_a"))).alias("q"))
+    """Exact type-7 quantiles (R default) per group, long form ``(keys, p, q)``: see ``ranks.quantiles``."""
+    return ranks.quantiles(df, col, ps, keys)
 
 
 def mean_qi(df: DataFrame, keys: Sequence[str], col: str = "value", width: float = 0.95) -> DataFrame:
@@ -275,9 +256,8 @@ def loo_pit(pred: DataFrame, obs_keys: Sequence[str], y: str, ll: str = "ll", pr
 # G20 -----------------------------------------------------------------------
 def rhat(draws: DataFrame, chain: str = "chain", order: str = "draw", value: str = "beta", keys=("term",)) -> DataFrame:
     """Split R-hat per term: chains halved in draw order, then within / between variances."""
-    w = Window.partitionBy(*keys, chain).orderBy(order)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys, chain))
-    d = draws.withColumn("_i", F.row_number().over(w)).withColumn("_n", n)
+    d = ranks.running(draws.select(*keys, chain, order, value), [*keys, chain], [order])
+    d = d.withColumns({"_i": F.col("_before") + 1, "_n": F.col("_total")})
     d = d.withColumn("_half", (F.col("_i") > F.col("_n") / 2).cast("int")).filter(
         ~((F.col("_n") % 2 == 1) & (F.col("_i") == (F.col("_n") + 1) / 2)))
     per = d.groupBy(*keys, chain, "_half").agg(F.avg(value).alias("_m"), F.var_samp(value).alias("_v"),

@@ -7,10 +7,13 @@ none.  Pivots take their value list explicitly (no extra distinct job, bounded w
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialscope.operators import ranks
+
 
 # E1 ------------------------------------------------------------------------
 def lag_by(df: DataFrame, part: Sequence[str], order: Sequence, col: str, default=None, out: str | None = None,
@@ -31,6 +34,13 @@ def top_n_per_group(df: DataFrame, keys: Sequence[str], col: str, n: int) -> Dat
 
 # E3 ------------------------------------------------------------------------
 def ranked(df: DataFrame, part: Sequence[str], order: Sequence, method: str = "rank", out: str = "rank") -> DataFrame:
+    """Rank of each row in its group. ``rank`` of column names counts rows before a value by ranges, so no task reads a group."""
+    if method == "rank" and all(isinstance(c, str) for c in order):
+        values = df.groupBy(*part, *order).agg(F.count(F.lit(1)).alias("_c"))
+        at = ranks.running(values, part, order, F.col("_c")).select(
+            *(F.col(c).alias(f"_of_{c}") for c in (*part, *order)), (F.col("_before") + 1).cast("int").alias(out))
+        same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*part, *order)))
+        return df.join(at, same).select(*df.columns, out)
     w = Window.partitionBy(*part).orderBy(*order)
     fn = {"rank": F.rank, "row_number": F.row_number, "dense_rank": F.dense_rank}[method]
     return df.withColumn(out, fn().over(w).cast("int"))

@@ -8,6 +8,7 @@ from trialscope.functions.normal import plogis, qnorm_sql
 from trialscope.operators import aggregates as D
 from trialscope.operators import clean as B
 from trialscope.operators import joins as C
+from trialscope.operators import ranks
 from trialscope.operators import reshape as E
 from trialscope.plans.registry import query
 from trialscope.plans.sqltext import with_ctes
@@ -250,7 +251,7 @@ def d24(spark, sf):
     "FROM (SELECT condition, lo_p_sup, row_number() OVER (PARTITION BY condition ORDER BY lo_p_sup) AS i, "
     "count(*) OVER (PARTITION BY condition) AS n FROM model WHERE lo_p_sup IS NOT NULL)", "model"))
 def d26(spark, sf):
-    return D.qq_table(M(spark, sf), "lo_p_sup", ["condition"])
+    return D.qq_table(M(spark, sf), "lo_p_sup", ["condition"], "event_id")
 
 
 EVID = ("(ln(p_award_with/(1.0-p_award_with)) - ln((p_award_without + 1.0/award_value)/"
@@ -407,9 +408,10 @@ def c13(spark, sf):
     "coalesce(lag(intervene) OVER w, 0) AS prev_intervene FROM trials WINDOW w AS (PARTITION BY worker_id ORDER BY trial)", "trials"))
 def e1(spark, sf):
     t = B.clean_trials(X.responses(spark, sf))
-    t = E.lag_by(t, ["worker_id"], ["trial"], "p_superiority", 50.0)
-    t = E.lag_by(t, ["worker_id"], ["trial"], "intervene", 0)
-    return t.select("event_id", "prev_p_superiority", "prev_intervene")
+    t = t.select("event_id", "worker_id", "trial", "p_superiority", "intervene")
+    t = ranks.lagged(t, ["worker_id"], ["trial"], ["p_superiority", "intervene"])
+    return t.select("event_id", F.coalesce("prev_p_superiority", F.lit(50.0)).alias("prev_p_superiority"),
+                    F.coalesce("prev_intervene", F.lit(0)).alias("prev_intervene"))
 
 
 WORKER_ERR = f"SELECT condition, start_means, worker_id, avg(abs({ERR})) AS mae FROM model GROUP BY ALL"

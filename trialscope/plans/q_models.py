@@ -512,13 +512,13 @@ def f13(spark, sf):
 
 
 @query("F14_arr_diff", with_ctes(
-    "SELECT a.vec_id, list_transform(list_zip(b.e, a.e), lambda z: round_even(z[1] - z[2], 6)) AS diff FROM "
+    "SELECT a.vec_id, list_transform(list_zip(b.e, a.e), lambda z: z[1] - z[2]) AS diff FROM "
     f"{EMB} a JOIN {EMB} b ON b.vec_id = a.vec_id + 1"))
 def f14(spark, sf):
-    """Draw-wise difference of consecutive vectors (team B minus team A)."""
+    """Draw-wise difference of consecutive vectors (team B minus team A), unrounded: exact in double."""
     a = _emb(spark, sf)
     b = a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("e").alias("eb"))
-    return a.join(b, "vec_id").select("vec_id", FA.round_array(FA.arr_diff("eb", "e")).alias("diff"))
+    return a.join(b, "vec_id").select("vec_id", FA.arr_diff("eb", "e").alias("diff"))
 
 
 @query("F15_builtins", with_ctes(
