@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one struct ``row``: beside it an operator's own columns can't clash with the input's."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+
+
+def free_name(name: str, docs: DataFrame) -> str:
+    """``name``, with underscores in front as long as ``docs`` has such a column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Large star: hang greater neighbours on the least; small star: hang the lesser ones and the node itself."""
     pairs = edges if not large else edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

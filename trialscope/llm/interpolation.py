@@ -27,7 +27,8 @@ FOLDS = 7
 TEST_FOLD = 2
 #: the fold of the training documents whose tokens the weights are learned on
 EM_FOLD = 3
-EM_STEPS = 40
+#: EM goes on until no weight moves by more
+EM_TOL = 1e-7
 #: context buckets: never seen, then powers of two
 BUCKETS = 42
 #: the grid of the histogram: steps an octave of a relative frequency, and the octaves it spans
@@ -171,18 +172,23 @@ def totals(answers: pa.Table, both: bool) -> tuple[int, int]:
     return (n_kept + n_held, v_both) if both else (n_kept, v_kept)
 
 
-def maximise(bins: np.ndarray, n: np.ndarray, vocabulary: int, steps: int = EM_STEPS) -> np.ndarray:
-    """Weights (bucket x uniform, unigram, bigram) by EM from even ones, with one token's worth of prior on each."""
+def maximise(bins: np.ndarray, n: np.ndarray, vocabulary: int, tol: float = EM_TOL) -> np.ndarray:
+    """Weights (bucket x uniform, unigram, bigram) by EM from even ones, with one token's worth of prior on each.
+
+    Steps go on until no weight moves by more than ``tol``; without held-out tokens the prior's even weights stay.
+    """
     b, p2, p1 = bins // (GRID * GRID), ungrid(bins // GRID % GRID), ungrid(bins % GRID)
     parts = np.stack([np.full(len(bins), 1.0 / (vocabulary + 1)), p1, p2], axis=1)
     weights = np.full((BUCKETS, 3), 1 / 3)
-    for _ in range(steps):
+    while True:
         share = weights[b] * parts
         share *= (n / share.sum(axis=1))[:, None]
-        weights = np.stack([np.bincount(b, weights=share[:, k], minlength=BUCKETS) for k in range(3)], axis=1) + 1
-        weights[0, 2] = 0  # a context never seen has no bigrams
-        weights /= weights.sum(axis=1, keepdims=True)
-    return weights
+        new = np.stack([np.bincount(b, weights=share[:, k], minlength=BUCKETS) for k in range(3)], axis=1).astype(float) + 1
+        new[0, 2] = 0  # a context never seen has no bigrams
+        new /= new.sum(axis=1, keepdims=True)
+        moved, weights = np.abs(new - weights).max(), new
+        if moved <= tol:
+            return weights
 
 
 def _count(rows: pa.Table, unigrams: int) -> pa.Table:

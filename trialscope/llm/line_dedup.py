@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import cut
+from .components import cut, free_name, whole_row
 
 BLANK = " \t\n\x0b\x0c\r"
 MIN_CHARS = 20
@@ -96,7 +96,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     key (``line_key``) has ``min_chars`` code points or more and stands in ``min_docs`` or more documents go,
     but in the document of the greatest id holding it. Rows of equal id are one document; rows without an id are
     one document that comes before all others. A row whose lines all go has an empty text. An empty table gives
-    an empty result. Other columns stay as they are.
+    an empty result. Other columns stay as they are, whatever their names; where the input has a column of a count's name,
+    the count's gets underscores in front.
     """
     spark = docs.sparkSession
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
@@ -127,15 +128,17 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     repeated = repeated.select("k1", "k2", "keeper", F.explode(salts).alias("_salt"))
     dropped = (salted.join(repeated, ["k1", "k2", "_salt"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
                .groupBy("id", "t").agg(F.sort_array(F.collect_set("i")).alias("_gone")))
-    joined = docs.withColumn("_t", F.xxhash64(text_col)).join(
-        dropped.withColumnsRenamed({"id": "_id", "t": "_t2"}),
-        F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_t2")), "left")
+    # the input's columns travel in one struct, whatever their names
+    base = docs.select(whole_row(docs), F.col(id_col).cast("long").alias("of"), F.xxhash64(text_col).alias("hash"))
+    joined = base.join(dropped, F.col("of").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("t")), "left")
+    old = F.col("row")[text_col]
     gone = F.coalesce("_gone", F.array().cast("array<int>"))
-    parted = joined.withColumns({"_gone": gone, "_lines": lines})
+    parted = joined.select("row", gone.alias("_gone"), F.split(F.coalesce(old, F.lit("")), "\n").alias("_lines"))
     # the lines between two dropped ones, slice by slice: linear in the number of lines
     edges = F.zip_with(F.concat(F.array(F.lit(-1)), F.col("_gone")), F.concat(F.col("_gone"), F.array(F.size("_lines"))),
                        lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     kept = F.flatten(F.transform(edges, lambda e: F.slice(F.col("_lines"), e["a"] + 2, e["b"] - e["a"] - 1)))
-    text = F.when(F.size("_gone") == 0, F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(kept, "\n"))
-    out = parted.withColumns({"_n_lines": F.size("_lines").cast("long"), "_n_dropped": F.size("_gone").cast("long"), "_text": text})
-    return out.select(*[F.col("_text").alias(c) if c == text_col else F.col(c) for c in docs.columns], "_n_lines", "_n_dropped")
+    text = F.when(F.size("_gone") == 0, F.coalesce(old, F.lit(""))).otherwise(F.array_join(kept, "\n"))
+    return parted.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns],
+                         F.size("_lines").cast("long").alias(free_name("_n_lines", docs)),
+                         F.size("_gone").cast("long").alias(free_name("_n_dropped", docs)))

@@ -14,7 +14,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import cut
+from .components import cut, whole_row
 
 LEVELS = ("domain", "lang", "source")
 WORD = r"[^\x20\x09-\x0D]+"
@@ -103,12 +103,14 @@ def mix(docs: DataFrame, weights: Mapping[str, Mapping[str, int]], share: tuple[
         id_col: str = "doc_id", text_col: str = "text", levels: Mapping[str, Column] | None = None) -> DataFrame:
     """The rows of ``docs`` as often as ``plan`` takes them, all columns; ``levels`` names and computes the levels."""
     levels = levels or {c: F.col(c) for c in LEVELS}
-    hidden = {f"_{name}": column for name, column in levels.items()}
-    leveled = docs.withColumns(hidden)
-    chosen = plan(leveled.select(F.col(id_col), F.col(text_col), *[F.col(f"_{n}").alias(f"_{n}") for n in levels]),
-                  {f"_{k}": v for k, v in weights.items()}, share, max_epochs, seed, id_col, text_col, tuple(hidden))
-    chosen = chosen.where("copies > 0").withColumnsRenamed({"id": "_id"})
-    keyed = leveled.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("none")) for c in hidden}).withColumn("_t", F.xxhash64(text_col))
-    joined = keyed.alias("d").join(chosen.alias("p"), F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("p._id")) & (F.col("d._t") == F.col("p.t"))
+    # the input's columns travel in one struct, whatever their names; the levels are l0, l1, ... beside it
+    hidden = {f"l{i}": F.coalesce(column.cast("string"), F.lit("none")) for i, column in enumerate(levels.values())}
+    number = {name: f"l{i}" for i, name in enumerate(levels)}
+    leveled = docs.select(whole_row(docs), F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("words"),
+                          *[column.alias(name) for name, column in hidden.items()])
+    chosen = plan(leveled.drop("row"), {number[k]: v for k, v in weights.items() if k in number}, share, max_epochs, seed, "key", "words", tuple(hidden))
+    chosen = chosen.where("copies > 0")
+    keyed = leveled.withColumn("hash", F.xxhash64("words")).drop("words")
+    joined = keyed.alias("d").join(chosen.alias("p"), F.col("d.key").eqNullSafe(F.col("p.id")) & (F.col("d.hash") == F.col("p.t"))
                                    & F.expr(" AND ".join(f"d.{c} = p.{c}" for c in hidden)))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[F.col(f"d.{c}") for c in docs.columns])
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

@@ -22,9 +22,8 @@ from .textbytes import SLICE_BYTES, SPACE, Words, hash_slices, slices, text_buff
 MIN_WORDS = 20
 REPEAT_SHARE = 30
 WINDOW = 8
-#: the bound on labelled texts that fit the model, and on the bytes of each that it looks at
+#: the bound on labelled texts that fit the model
 MAX_LABELLED = 2000
-MAX_BYTES = 20_000
 #: least share of words in content lines of a text that is kept
 CONTENT_SHARE = 0.5
 
@@ -181,10 +180,10 @@ def fit(features: np.ndarray, labels: np.ndarray, off: np.ndarray, steps: int =
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-          max_labelled: int = MAX_LABELLED, max_bytes: int = MAX_BYTES) -> Crf:
+          max_labelled: int = MAX_LABELLED) -> Crf:
     """Fits the CRF on at most ``max_labelled`` labelled texts, the first by a hash of the id (half of each label).
 
-    Only the sample's first ``max_bytes`` bytes of lines teach the weights; scoring always reads whole texts. Line
+    Whole texts teach the weights; of the rows of one id, the one of the smallest text hash does. Line
     labels start from the text's: lines of good texts are content; a bad text's line is boilerplate if it shows
     more symbols, marks, capitals, digits or repetition than 99 of 100 lines of good texts, else content. Without
     labelled texts the weights are zero and every line is content.
@@ -194,7 +193,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = known.where("good = 0").orderBy(F.xxhash64(id_col), id_col).limit(half).unionByName(
         known.where("good = 1").orderBy(F.xxhash64(id_col), id_col).limit(half))
     sample = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).select(
-        F.substring(text_col, 1, max_bytes).alias("text"), "good").toPandas()
+        F.col(id_col).alias("id"), F.col(text_col).alias("text"), "good").groupBy("id").agg(
+        F.min_by(F.struct("text"), F.xxhash64("text")).alias("row"), F.first("good").alias("good")).select("row.text", "good").toPandas()
     sample = sample.assign(text=sample["text"].fillna("")).sort_values(["good", "text"])
     if sample["good"].nunique() < 2:
         return Crf()

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components, cut
+from .components import components, cut, whole_row
 from .textbytes import LOWER, Words, slices, text_buffer
 
 SHINGLE = 4
@@ -172,8 +172,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
     Of several rows with that id (repeated rows, or ids that are null), any one is kept.
     """
-    printed = with_fingerprint(docs, text_col, shingle)
-    prints = cut(printed.select(F.col(id_col).cast("long").alias("id"), "fp"))
+    # the input's columns travel in one struct, whatever their names
+    rows = docs.select(whole_row(docs), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    printed = with_fingerprint(rows, "text", shingle)
+    prints = cut(printed.select("id", "fp"))
     groups = classes(prints, radius)
-    kept = printed.join(groups, "fp").where(F.col(id_col).cast("long").eqNullSafe(F.col("component_id")))
-    return kept.dropDuplicates(["root"]).select(docs.columns)
+    kept = printed.join(groups, "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
+    return kept.dropDuplicates(["root"]).select("row.*")
