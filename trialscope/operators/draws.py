@@ -1,14 +1,12 @@
 """Analytics over tables of model draws.
 
-Layout: coefficient draws are long, ``(draw, chain, term, beta)``; a prediction grid
-is a small table of design cells, turned into a long design ``(grid cols, term, x)``.
-Fitted values are an equi-join on ``term`` plus ``sum(x * beta)`` per (grid row, draw).
-
-Scale: the draw table is hash-partitioned by ``draw`` once; the design side is bounded
-by the design factors and is broadcast only after its row count is checked (else a
-shuffle join, with AQE's skew handling).  Aggregates keyed by (..., draw) then reuse
-the draw partitioning, so the whole fitted -> contrast -> marginalise chain runs with
-one shuffle of the draws.  Quantiles over draws are exact (R type 7) by distributed
+Layout: coefficient draws are vectors, ``(draw, chain, beta)``, or long, ``(draw, chain,
+term, beta)``; a prediction grid is a small table of design cells with their terms.
+
+Scale: fitted values of a design grid are computed on a draw's vector where it is stored
+(the grid is one array value, its size checked), so the draws are not shuffled; later
+aggregates keyed by (..., draw) combine in the same task before they shuffle.  Trials meet
+the draws of their cell in chunks and unfold them within the row.  Quantiles over draws are exact (R type 7) by distributed
 selection (``ranks.quantiles``), never by sorting a whole group.
 """
 from __future__ import annotations
@@ -22,14 +20,10 @@ from pyspark.sql import functions as F
 from trialscope.functions.normal import LOGIT_075, _col, plogis, with_qnorm
 from trialscope.operators import ranks
 
-MAX_BROADCAST_ROWS = 1_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after an explicit row-count check (the side is cached for reuse)."""
-    df = df.persist()
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+#: draws of a chunk of coefficients
+CHUNK = 1024
+#: rows of a design grid
+MAX_GRID = 100_000
 
 
 def by_draw(draws: DataFrame, n_partitions: int | None = None) -> DataFrame:
@@ -51,25 +45,17 @@ def llo_design(cell: Column, x: Column, offset: int = 0) -> Column:
 
 
 # G1 ------------------------------------------------------------------------
-def fitted_draws(grid: DataFrame, draws: DataFrame, design: Column, link: str = "identity",
-                 value: str = "value", small: str = "grid") -> DataFrame:
+def fitted_draws(grid: DataFrame, draws: DataFrame, design: Column, link: str = "identity", value: str = "value") -> DataFrame:
     """Fitted value per grid row and draw: sum over terms of x * beta.
 
-    ``small`` names the side that is bounded: ``"grid"`` (design cells; checked, then
-    broadcast) or ``"draws"`` (a subsample of draws, e.g. from ``take_draws``, while the
-    grid is a data-sized table of trials that then streams through the join).
+    ``draws`` holds one vector a draw (draw, beta); ``grid`` is a table of design cells (factor levels crossed, bounded by
+    the design and checked), which becomes one array value: a draw is read once, where it is stored, and moves nowhere.
     """
-    keys = grid.columns
-    long = grid.withColumn("_d", F.explode(design)).select(*keys, F.col("_d.term").alias("term"), F.col("_d.x").alias("_x"))
-    d = draws.select("draw", "term", "beta")
-    if small == "draws":
-        j = long.join(broadcast_if_small(d), "term")
-    else:
-        j = d.join(broadcast_if_small(long), "term")
-    out = j.groupBy(*keys, "draw").agg(F.sum(F.col("_x") * F.col("beta")).alias(value))
-    if link == "logit":
-        out = out.withColumn(value, plogis(value))
-    return out
+    cells = F.collect_list(F.struct(*grid.columns, design.alias("_d")))
+    cells = F.when(F.count(F.lit(1)) <= MAX_GRID, cells).otherwise(F.raise_error(f"a grid of more than {MAX_GRID} rows"))
+    each = draws.select("draw", "beta", F.explode(grid.agg(cells).scalar()).alias("_g"))
+    fit = F.aggregate("_g._d", F.lit(0.0), lambda s, d: s + d["x"] * F.element_at(F.col("beta"), d["term"] + 1))
+    return each.select(*(F.col(f"_g.{c}").alias(c) for c in grid.columns), "draw", (plogis(fit) if link == "logit" else fit).alias(value))
 
 
 # G2 / G3 ---------------------------------------------------------------------
@@ -80,11 +66,26 @@ def hash_uniform(*cols, seed: int = 0) -> Column:
     return (bits.cast("double") + 0.5) / float(2 ** 52)
 
 
+# A prime modulus and multipliers of full period for it, as tabulated for congruential generators.
+M31 = 2147483647
+MULTIPLIERS = (742938285, 950706376, 1226874159, 62089911)
+LAST = (1343714438, 630360016)
+
+
+def noise_state(*cols, seed: int = 0) -> Column:
+    """A 31-bit hash of integer keys and a seed in plain 64-bit arithmetic, the same on every engine."""
+    x = F.lit(seed % M31).cast("long")
+    for k, c in enumerate(cols):
+        x = ((x + F.pmod(_col(c).cast("long"), F.lit(M31))) % M31) * MULTIPLIERS[k % 2] % M31
+    for k, shift in enumerate((13, 11)):
+        x = x.bitwiseXOR(F.shiftright(x, shift)) * MULTIPLIERS[2 + k] % M31
+    return x
+
+
 def hash_normal(*cols, seed: int = 0) -> Column:
-    """Standard normal from two hashed uniforms (Box-Muller): one ln, sqrt and cos per row,
-    no branches, so it stays cheap inside generated code; reproducible on any engine."""
-    u1 = hash_uniform(*cols, seed=seed)
-    u2 = hash_uniform(*cols, seed=seed + 1)
+    """Standard normal from two hashed uniforms (Box-Muller) of integer keys: one ln, sqrt and cos per row, no
+    branches and no strings, so it stays cheap inside generated code; reproducible on any engine."""
+    u1, u2 = ((noise_state(*cols, seed=seed) * m % M31 + 0.5) / float(M31) for m in LAST)
     return F.sqrt(F.lit(-2.0) * F.ln(u1)) * F.cos(F.lit(2 * math.pi) * u2)
 
 
@@ -95,23 +96,30 @@ def predicted_draws(fitted: DataFrame, row_keys: Sequence[str], sigma, seed: int
 
 
 def cell_coefficients(draws: DataFrame, offset: int = 0, n_cells: int = 16) -> DataFrame:
-    """Draws of the cell-means layout as one row per (draw, cell) with (b0, b1).
+    """Vectors of the cell-means layout (draw, beta) as one row per (draw, cell) with (b0, b1); a vector stays in its task."""
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(n_cells - 1)), lambda c: F.struct(
+        c.alias("cell"), F.element_at(F.col("beta"), c * 2 + (offset + 1)).alias("b0"), F.element_at(F.col("beta"), c * 2 + (offset + 2)).alias("b1")))
+    return draws.select("draw", F.explode(pairs).alias("_c")).select("draw", "_c.*")
+
+
+def chunked(coefs: DataFrame) -> tuple[DataFrame, int]:
+    """(cell, chunk, draws): the (draw, b0, b1) of a cell in arrays of some ``CHUNK`` draws, and the number of chunks."""
+    n = max(1, -(-coefs.agg(F.approx_count_distinct("draw")).first()[0] // CHUNK))
+    chunk = F.pmod(F.xxhash64("draw"), F.lit(n)).cast("int")
+    return coefs.groupBy("cell", chunk.alias("chunk")).agg(F.collect_list(F.struct("draw", "b0", "b1")).alias("draws")), n
 
-    Grouped on the draw partitioning (no shuffle); its size is draws x cells, so a
-    (sub)sample of draws can be broadcast to data-sized tables keyed by cell.
-    """
-    d = draws.filter((F.col("term") >= offset) & (F.col("term") < offset + 2 * n_cells))
-    d = d.withColumn("cell", F.floor((F.col("term") - offset) / 2).cast("int"))
-    even = (F.col("term") - offset) % 2 == 0
-    return d.groupBy("draw", "cell").agg(F.first(F.when(even, F.col("beta")), ignorenulls=True).alias("b0"),
-                                         F.first(F.when(~even, F.col("beta")), ignorenulls=True).alias("b1"))
 
+def fitted_by_cell(df: DataFrame, coefs: tuple[DataFrame, int], cell: Column, x: str, value: str = "value", parts: bool = False) -> DataFrame:
+    """Fitted value b0 + b1 * x for every row and draw; with ``parts``, b0 and b1 too.
 
-def fitted_by_cell(df: DataFrame, coefs: DataFrame, cell: Column, x: str, value: str = "value") -> DataFrame:
-    """Fitted value b0 + b1 * x for every row and draw: an equi-join on the design cell with
-    the (checked, broadcast) coefficient table, no aggregation and no shuffle of the rows."""
-    j = df.withColumn("cell", cell).join(broadcast_if_small(coefs), "cell")
-    return j.withColumn(value, F.col("b0") * 1.0 + F.col(x) * F.col("b1")).drop("b0", "b1", "cell")
+    ``coefs`` comes from ``chunked``: a row meets each chunk of its cell once, in an equi-join on (cell, chunk) with keys
+    that grow with the draws, and the draws unfold within the row, so rows x draws are never joined or shuffled.
+    """
+    table, n = coefs
+    rows = df.select("*", cell.alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("chunk"))
+    each = rows.join(table, ["cell", "chunk"]).select(*df.columns, F.explode("draws").alias("_d"))
+    own = [F.col(f"_d.{b}").alias(b) for b in ("b0", "b1")] if parts else []
+    return each.select(*df.columns, F.col("_d.draw").alias("draw"), *own, (F.col("_d.b0") + F.col(x) * F.col("_d.b1")).alias(value))
 
 
 def take_draws(draws: DataFrame, n: int, seed: int = 1234) -> DataFrame:
@@ -241,18 +249,35 @@ def waic(loglik: DataFrame, obs_keys: Sequence[str], ll: str = "ll", model_key:
         F.count(F.lit(1)).alias("n_obs"))
 
 
-# G19 -----------------------------------------------------------------------
-def loo_pit(pred: DataFrame, obs_keys: Sequence[str], y: str, ll: str = "ll", prediction: str = "prediction") -> DataFrame:
-    """Importance-weighted LOO-PIT: weights 1/p(y|draw) (stabilised by the max log-weight),
-    truncated at sqrt(S) * mean weight, then the weighted share of predictions <= y."""
-    m = pred.groupBy(*obs_keys).agg(F.max(-F.col(ll)).alias("_m"), F.count(F.lit(1)).alias("_s"))
-    j = pred.join(m, list(obs_keys)).withColumn("_w", F.exp(-F.col(ll) - F.col("_m")))
-    mw = j.groupBy(*obs_keys).agg(F.avg("_w").alias("_mw"))
-    j = j.join(mw, list(obs_keys)).withColumn("_w", F.least(F.col("_w"), F.sqrt(F.col("_s").cast("double")) * F.col("_mw")))
-    return j.groupBy(*obs_keys).agg(
+# G19 -------------------------------------------------------------------------
+def loo_stats(pred: DataFrame, obs_keys: Sequence[str], ll: str = "ll") -> DataFrame:
+    """Per observation, of the weights exp(-ll): the log of their mean and the number of draws, in one aggregate.
+
+    Weights are summed map-side in bands of 512 log units, as in ``waic_pointwise``.
+    """
+    lw = -F.col(ll)
+    bands = pred.withColumn("_top", F.ceil(lw / 512) * 512.0).groupBy(*obs_keys, "_top").agg(
+        F.sum(F.exp(lw - F.col("_top"))).alias("_e"), F.count(F.lit(1)).alias("_n"))
+    bands = bands.withColumn("_m", F.max("_top").over(Window.partitionBy(*obs_keys)))
+    s = F.sum("_n")
+    return bands.groupBy(*obs_keys).agg(
+        (F.max("_m") + F.ln(F.sum(F.col("_e") * F.exp(F.col("_top") - F.col("_m")))) - F.ln(s.cast("double"))).alias("log_mean_w"), s.alias("n_draws"))
+
+
+def loo_share(pred: DataFrame, obs_keys: Sequence[str], y: str, ll: str = "ll", prediction: str = "prediction") -> DataFrame:
+    """LOO-PIT of rows that carry their observation's ``loo_stats``: weights in units of their mean, truncated at sqrt(S)."""
+    w = F.least(F.exp(-F.col(ll) - F.col("log_mean_w")), F.sqrt(F.col("n_draws").cast("double")))
+    return pred.withColumn("_w", w).groupBy(*obs_keys).agg(
         (F.sum(F.when(F.col(prediction) <= F.col(y), F.col("_w")).otherwise(0.0)) / F.sum("_w")).alias("loo_pit"))
 
 
+def loo_pit(pred: DataFrame, obs_keys: Sequence[str], y: str, ll: str = "ll", prediction: str = "prediction") -> DataFrame:
+    """Importance-weighted LOO-PIT of a stored table of predictions: weights 1/p(y|draw), truncated at sqrt(S) * mean
+    weight, then the weighted share of predictions <= y.  Where predictions are computed from trials, give the trials
+    their ``loo_stats`` before they unfold into draws, and take ``loo_share``."""
+    return loo_share(pred.join(loo_stats(pred, obs_keys, ll), list(obs_keys)), obs_keys, y, ll, prediction)
+
+
 # G20 -----------------------------------------------------------------------
 def rhat(draws: DataFrame, chain: str = "chain", order: str = "draw", value: str = "beta", keys=("term",)) -> DataFrame:
     """Split R-hat per term: chains halved in draw order, then within / between variances."""

@@ -36,7 +36,7 @@ def model(spark, sf):
 
 
 def draws(spark, sf):
-    return G.by_draw(X.draws_long(spark, sf))
+    return X.draws_wide(spark, sf)
 
 
 def cell():
@@ -60,10 +60,21 @@ def psy_dec(spark, sf):
 
 def trial_predictions(spark, sf, n_draws: int | None = None):
     """Per modelled trial and draw (all draws, or ``n_draws`` of them): mean, predicted answer and log likelihood."""
-    m = model(spark, sf).select("event_id", "condition", "sd_diff", "means", "lo_ground_truth", "lo_p_sup")
+    return unfold(modelled(spark, sf), coefficients(spark, sf, n_draws))
+
+
+def modelled(spark, sf):
+    return model(spark, sf).select("event_id", "condition", "sd_diff", "means", "lo_ground_truth", "lo_p_sup")
+
+
+def coefficients(spark, sf, n_draws: int | None = None):
     d = draws(spark, sf) if n_draws is None else G.take_draws(draws(spark, sf), n_draws)
-    fit = G.fitted_by_cell(m, G.cell_coefficients(d), cell(), "lo_ground_truth", value="mu")
-    fit = fit.select("event_id", "lo_p_sup", "draw", "mu")
+    return G.chunked(G.cell_coefficients(d))
+
+
+def unfold(trials, coefs):
+    """Every trial's mean, predicted answer and log likelihood under every draw; other columns stay."""
+    fit = G.fitted_by_cell(trials, coefs, cell(), "lo_ground_truth", value="mu").drop(*GRID, "lo_ground_truth")
     pred = G.predicted_draws(fit, ["event_id"], 1.0, seed=1234, value="mu")
     return pred.withColumn("ll", norm_logpdf("lo_p_sup", "mu", 1.0))
 
@@ -203,9 +214,7 @@ def g13(spark, sf):
     "psy_dec"))
 def g15(spark, sf):
     p = G.to_award_scale(psy_dec(spark, sf), 0.5, 2.25, cols=("pse",))
-    a = p.groupBy("condition").agg(F.avg("pse").alias("pse"))
-    b = p.groupBy("condition").agg(F.avg("pse_p_award").alias("pse_p_award"))
-    return C.rate_table(a, b, ["condition"])
+    return p.groupBy("condition").agg(F.avg("pse").alias("pse"), F.avg("pse_p_award").alias("pse_p_award"))
 
 
 def _weights(spark):
@@ -238,10 +247,15 @@ def g18(spark, sf):
     return G.waic(trial_predictions(spark, sf), ["event_id"])
 
 
-@query("G19_loo_pit")
+@query("G19_loo_pit", with_ctes(
+    f"SELECT event_id, {r6('sum(CASE WHEN prediction <= lo_p_sup THEN w ELSE 0.0 END) / sum(w)', 'loo_pit')} FROM ("
+    "SELECT *, least(r, sqrt(count(*) OVER e) * avg(r) OVER e) AS w FROM (SELECT *, exp(-ll - max(-ll) OVER (PARTITION BY event_id)) AS r "
+    "FROM pred_trials_y) WINDOW e AS (PARTITION BY event_id)) GROUP BY event_id", "pred_trials_y"))
 def g19(spark, sf):
-    """Rows-only: importance weights; checked against a NumPy version in the tests."""
-    return G.loo_pit(trial_predictions(spark, sf), ["event_id"], "lo_p_sup")
+    """Importance weights need their mean before they are truncated: trials get it, then unfold into draws again."""
+    m, coefs = modelled(spark, sf), coefficients(spark, sf)
+    stats = G.loo_stats(unfold(m, coefs), ["event_id"])
+    return G.loo_share(unfold(m.join(stats, "event_id"), coefs), ["event_id"], "lo_p_sup")
 
 
 @query("G20_rhat", with_ctes(

@@ -200,12 +200,12 @@ def h13(spark, sf):
 def h14(spark, sf):
     """WAIC of the cell LLO model vs the same model with slopes fixed at 1, and the difference."""
     m = model(spark, sf).select("event_id", "condition", "sd_diff", "means", "lo_ground_truth", "lo_p_sup")
-    coefs = G.cell_coefficients(G.by_draw(X.draws_long(spark, sf)))
-    cell = G.cell_index(levels=X.CONDITIONS)
-    fa = G.fitted_by_cell(m, coefs, cell, "lo_ground_truth", value="mu").select("event_id", "lo_p_sup", "mu")
-    fb = G.fitted_by_cell(m, coefs.withColumn("b1", F.lit(1.0)), cell, "lo_ground_truth", value="mu").select("event_id", "lo_p_sup", "mu")
-    ll = (fa.withColumn("model", F.lit("llo")).unionByName(fb.withColumn("model", F.lit("unbiased")))
-          .withColumn("ll", norm_logpdf("lo_p_sup", "mu", 1.0)))
+    both = G.chunked(G.cell_coefficients(X.draws_wide(spark, sf)))
+    fit = G.fitted_by_cell(m, both, G.cell_index(levels=X.CONDITIONS), "lo_ground_truth", value="mu", parts=True)
+    mus = F.array(F.struct(F.lit("llo").alias("model"), F.col("mu").alias("mu")),
+                  F.struct(F.lit("unbiased").alias("model"), (F.col("b0") + F.col("lo_ground_truth")).alias("mu")))
+    ll = fit.select("event_id", "lo_p_sup", F.explode(mus).alias("_m")).select(
+        "event_id", "_m.model", norm_logpdf("lo_p_sup", F.col("_m.mu"), 1.0).alias("ll"))
     w = G.waic(ll, ["event_id"], model_key=["model"])
     best = w.agg(F.max("elpd_waic")).scalar()
     return w.withColumn("elpd_diff", F.col("elpd_waic") - best)

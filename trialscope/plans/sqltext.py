@@ -7,6 +7,7 @@ needs, in dependency order.
 from __future__ import annotations
 
 from trialscope.functions.normal import pnorm_sql, qnorm_sql
+from trialscope.operators.draws import LAST, M31, MULTIPLIERS
 
 D = "::DOUBLE"
 
@@ -210,8 +211,14 @@ for _n in (100, 500):
 
 
 def normal_sql(*cols: str, seed: int = 1234) -> str:
-    """Box-Muller standard normal from two hashed uniforms, as ``draws.hash_normal``."""
-    return f"(sqrt(-2.0 * ln({u_sql(*cols, seed=seed)})) * cos(6.283185307179586 * {u_sql(*cols, seed=seed + 1)}))"
+    """Box-Muller standard normal from two hashed uniforms of integer keys, as ``draws.hash_normal``."""
+    x = f"{seed % M31}::BIGINT"
+    for k, c in enumerate(cols):
+        x = f"((({x} + (CAST({c} AS BIGINT) % {M31} + {M31}) % {M31}) % {M31}) * {MULTIPLIERS[k % 2]} % {M31})"
+    for k, shift in enumerate((13, 11)):
+        x = f"(xor({x}, {x} >> {shift}) * {MULTIPLIERS[2 + k]} % {M31})"
+    u1, u2 = (f"(({x} * {m} % {M31} + 0.5::DOUBLE) / {M31}.0::DOUBLE)" for m in LAST)
+    return f"(sqrt(-2.0 * ln({u1})) * cos(6.283185307179586 * {u2}))"
 
 
 # predictions of every trial from all draws, and from the 500 of the residual check

@@ -112,3 +112,9 @@ def draws_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("draw"), F.col("label").alias("chain"),
                     F.posexplode("embedding").alias("term", "beta")) \
             .select("draw", "chain", F.col("term").cast("int").alias("term"), F.col("beta").cast("double").alias("beta"))
+
+
+def draws_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same draws as stored: one vector a draw (draw, chain, beta)."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("draw"), F.col("label").alias("chain"), F.col("embedding").cast("array<double>").alias("beta"))
