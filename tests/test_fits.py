@@ -198,3 +198,43 @@ def test_ordinal_missing_class(spark):
     df = spark.createDataFrame([(0.0, 1), (1.0, 3)], "x double, y int")
     coefs, told = fits.ordinal_fit(df, "y", {"x": F.col("x")}, 3)
     assert not told["converged"] and all(math.isnan(v) for v in coefs.values())
+
+
+def test_workers_around_a_population(spark):
+    rng = np.random.default_rng(12)
+    rows, want = [], {}
+    for g in range(2):
+        stats = []
+        for worker in range(40):
+            n = int(rng.integers(1, 25))
+            u = np.array([[0.5, 0.0], [-0.2, 0.3]]) @ rng.normal(size=2)
+            x = rng.uniform(-2, 2, n).round(2)
+            y = 0.3 + u[0] + (0.7 + 0.2 * g + u[1]) * x + rng.normal(0, 0.4, n)
+            rows += [(g, worker, float(a), float(b)) for a, b in zip(x, y)]
+            stats.append((worker, np.column_stack([np.ones(n), x]), y))
+
+        def covariance(t):
+            L = np.array([[math.exp(t[2]), 0], [t[3], math.exp(t[4])]])
+            return L @ L.T
+
+        def nll(t):
+            total = 0.0
+            for _, X, y in stats:
+                V = X @ covariance(t) @ X.T + math.exp(2 * t[5]) * np.eye(len(y))
+                r = y - X @ t[:2]
+                total += 0.5 * (np.linalg.slogdet(V)[1] + r @ np.linalg.solve(V, r) + len(y) * math.log(2 * math.pi))
+            return total
+        t = minimum(nll, [0.2, 0.6, -0.7, 0.0, -1.2, -0.9])
+        lines = {}
+        for worker, X, y in stats:
+            V = X @ covariance(t) @ X.T + math.exp(2 * t[5]) * np.eye(len(y))
+            lines[worker] = t[:2] + covariance(t) @ X.T @ np.linalg.solve(V, y - X @ t[:2])
+        want[g] = (t, nll(t), lines)
+    got = fits.llo_hierarchical(spark.createDataFrame(rows, "g int, worker_id int, x double, y double"), ["g"], y="y", x="x", tol=1e-8).collect()
+    assert len(got) == 80
+    for r in got:
+        t, least, lines = want[r.g]
+        assert r.converged and abs(r.loglik + least) < 1e-6
+        assert np.allclose([r.mu_intercept, r.mu_slope, r.sigma], [t[0], t[1], math.exp(t[5])], atol=1e-5)
+        assert np.allclose([r.sd_intercept, r.sd_slope], [math.exp(t[2]), math.hypot(t[3], math.exp(t[4]))], atol=1e-5)
+        assert np.allclose([r.intercept, r.slope], lines[r.worker_id], atol=1e-5)

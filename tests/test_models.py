@@ -128,3 +128,35 @@ def test_noise_differs_by_every_part_of_a_grid_row(spark):
     df = spark.createDataFrame(rows, "cell int, ti int, draw int, value double")
     got = {r.prediction for r in G.predicted_draws(df, ["cell", "ti"], 1.0, seed=99).collect()}
     assert len(got) == len(rows)
+
+
+def test_noise_is_normal_and_independent(spark):
+    n, d = 400, 250
+    z = np.zeros((n, d))
+    for r in spark.range(n).selectExpr("id", f"explode(sequence(0, {d - 1})) AS draw").select("id", "draw", G.hash_normal("id", "draw", seed=5).alias("z")).collect():
+        z[r.id, r.draw] = r.z
+    flat = np.sort(z.ravel())
+    assert abs(z.mean()) < 0.01 and abs(z.std() - 1) < 0.01 and abs((z ** 3).mean()) < 0.03 and abs((z ** 4).mean() - 3) < 0.08
+    p = np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in flat[::50]])
+    assert np.max(np.abs(p - (np.arange(len(flat)) + 0.5)[::50] / len(flat))) < 0.006  # Kolmogorov distance
+    for a, b in ((z[:, 1:], z[:, :-1]), (z[1:], z[:-1]), (z[:, 7:], z[:, :-7]), (z[10:], z[:-10]), (z[1:, 1:], z[:-1, :-1])):
+        assert abs((a * b).mean()) < 0.015 and abs((a ** 2 * b ** 2).mean() - 1) < 0.05
+    assert np.abs(z.mean(axis=1)).max() < 5 / math.sqrt(d) and np.abs(z.mean(axis=0)).max() < 5 / math.sqrt(n)
+    assert len(np.unique(z)) > 0.999 * z.size
+
+
+def test_worker_effects_have_the_line_s_covariance(spark):
+    df, rows = _toy(spark, n_workers=3, n=30)
+    df = df.withColumn("g", F.lit("a"))
+    population = spark.range(4000).select(F.lit("a").alias("g"), F.col("id").alias("draw"), F.lit(1.0).alias("intercept"), F.lit(2.0).alias("slope"))
+    got = H.worker_effect_draws(df, population, group="g", y="y", x="x").toPandas()
+    X = np.array([[1.0, r[2]] for r in rows]); y = np.array([r[3] for r in rows])
+    whole = np.linalg.lstsq(X, y, rcond=None)[0]
+    for w in range(3):
+        at = [r[0] == w for r in rows]
+        beta, res, *_ = np.linalg.lstsq(X[at], y[at], rcond=None)
+        V = res[0] / 28 * np.linalg.inv(X[at].T @ X[at])
+        d = got[got.worker_id == w][["intercept", "slope"]].to_numpy()
+        assert len(d) == 4000
+        assert np.allclose(d.mean(axis=0), beta - whole + [1.0, 2.0], atol=5 * np.sqrt(np.diag(V) / 4000))
+        assert np.allclose(np.cov(d.T), V, rtol=0.15, atol=0.05 * V.max())

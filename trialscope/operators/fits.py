@@ -440,3 +440,62 @@ def ordinal_fit(df: DataFrame, y: str, features: dict[str, Column], k: int = 3,
             break
         now, (ll, g, h) = new, found
     return dict(zip(labels, now.tolist())), {"loglik": ll, "converged": 0.0, "iterations": float(iters)}
+
+
+# H3 ------------------------------------------------------------------------
+def llo_hierarchical(df: DataFrame, keys: Sequence[str] = (), worker: str = "worker_id", y: str = "lo_p_sup", x: str = "lo_ground_truth",
+                     iters: int = ROUNDS, tol: float = 1e-6) -> DataFrame:
+    """LLO lines of workers around a population line per group: intercept and slope vary together between workers.
+
+    EM on the 2 x 2 covariance between workers, the population line and the residual sd, from each worker's sums (one row
+    a worker; trials are read once).  Workers need one trial.  Returns keys, worker, n, ``intercept`` and ``slope`` (drawn
+    to the population by the worker's own precision), ``mu_intercept``, ``mu_slope``, ``sd_intercept``, ``sd_slope``, ``cor``,
+    ``sigma``, ``loglik``, ``converged``, ``iterations``.  A between-worker sd is 1e-4 at least.
+    """
+    pooled = not keys
+    keys = list(keys) or ["_g"]
+    df = df.withColumn("_g", F.lit(0)) if pooled else df
+    x, y, floor = F.col(x).cast("double"), F.col(y).cast("double"), 1e-4
+    per = df.where(x.isNotNull() & y.isNotNull()).groupBy(*keys, worker).agg(
+        F.count(F.lit(1)).cast("double").alias("_n"), F.sum(x).alias("_sx"), F.sum(y).alias("_sy"), F.sum(x * x).alias("_sxx"),
+        F.sum(x * y).alias("_sxy"), F.sum(y * y).alias("_syy"))
+    per = cut_lineage(per)
+    n, sx, sy, sxx, sxy, syy = (F.col(c) for c in ("_n", "_sx", "_sy", "_sxx", "_sxy", "_syy"))
+    flat = per.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("_n", "_sx", "_sy", "_sxx", "_sxy", "_syy")))
+    (b0, b1), fine = solve([[n, sx], [sx, sxx]], [sy, sxy])
+    sd = F.greatest(F.sqrt(F.greatest(syy - b0 * sy - b1 * sxy, F.lit(0.0)) / n), F.lit(1e-4))
+    start = flat.select(*keys, F.when(fine, F.array(b0, b1, sd / 2, F.lit(0.0), sd / 2, sd)).alias("state")).where(F.col("state").isNotNull())
+    th = [F.col("state")[i] for i in range(6)]
+    c = F.col
+    derive = [{"_b0": th[0], "_b1": th[1], "_o00": th[2] * th[2], "_o01": th[2] * th[3], "_o11": th[3] * th[3] + th[4] * th[4],
+               "_s2": th[5] * th[5], "_lo": 2 * (F.ln(th[2]) + F.ln(th[4]))}]  # _lo: log determinant of the covariance
+    derive += [{"_a00": n / c("_s2") + c("_o11") * F.exp(-c("_lo")), "_a01": sx / c("_s2") - c("_o01") * F.exp(-c("_lo")),
+                "_a11": sxx / c("_s2") + c("_o00") * F.exp(-c("_lo")), "_r0": (sy - n * c("_b0") - sx * c("_b1")) / c("_s2"),
+                "_r1": (sxy - sx * c("_b0") - sxx * c("_b1")) / c("_s2")},
+               {"_da": c("_a00") * c("_a11") - c("_a01") * c("_a01")},
+               {"_v00": c("_a11") / c("_da"), "_v01": -c("_a01") / c("_da"), "_v11": c("_a00") / c("_da")},
+               {"_m0": c("_v00") * c("_r0") + c("_v01") * c("_r1"), "_m1": c("_v01") * c("_r0") + c("_v11") * c("_r1")},
+               {"_q": syy - 2 * (c("_m0") * sy + c("_m1") * sxy) + n * (c("_m0") ** 2 + c("_v00")) + 2 * sx * (c("_m0") * c("_m1") + c("_v01"))
+                + sxx * (c("_m1") ** 2 + c("_v11")),
+                "_ll": -0.5 * (n * math.log(2 * math.pi) + n * F.ln("_s2") + c("_lo") + F.ln("_da") - c("_m0") * c("_r0") - c("_m1") * c("_r1")
+                               + (syy - 2 * (c("_b0") * sy + c("_b1") * sxy) + n * c("_b0") ** 2 + 2 * sx * c("_b0") * c("_b1") + sxx * c("_b1") ** 2) / c("_s2"))}]
+    sums = {"k": F.count(F.lit(1)), "o00": F.sum(c("_m0") ** 2 + c("_v00")), "o01": F.sum(c("_m0") * c("_m1") + c("_v01")),
+            "o11": F.sum(c("_m1") ** 2 + c("_v11")), "n": F.sum(n), "sx": F.sum(sx), "sxx": F.sum(sxx), "q": F.sum("_q"),
+            "g0": F.sum(sy - n * c("_m0") - sx * c("_m1")), "g1": F.sum(sxy - sx * c("_m0") - sxx * c("_m1"))}
+    (b0, b1), _ = solve([[c("n"), c("sx")], [c("sx"), c("sxx")]], [c("g0"), c("g1")])
+    s2 = (c("q") - 2 * (b0 * c("g0") + b1 * c("g1")) + b0 * b0 * c("n") + 2 * b0 * b1 * c("sx") + b1 * b1 * c("sxx")) / c("n")
+    l0 = F.sqrt(F.greatest(c("o00") / c("k"), F.lit(1e-8)))
+    l1 = c("o01") / c("k") / l0
+    l2 = F.sqrt(F.greatest(c("o11") / c("k") - l1 * l1, F.lit(1e-8)))
+    em = F.array(b0, b1, l0, l1, l2, F.sqrt(F.greatest(s2, F.lit(1e-8))))
+
+    def proper(a: Column) -> Column:
+        return F.transform(a, lambda v, i: F.when(i.isin(2, 4, 5), F.greatest(v, F.lit(floor))).otherwise(v))
+
+    fit = cut_lineage(squarem(per, keys, start, sums, em, F.sum("_ll"), tol, iters, proper, derive=derive))
+    fit = fit.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys))
+    out = reduce(DataFrame.withColumns, derive, per.join(fit, same))
+    return out.select(*([] if pooled else keys), worker, n.cast("long").alias("n"), (c("_b0") + c("_m0")).alias("intercept"), (c("_b1") + c("_m1")).alias("slope"),
+                      c("_b0").alias("mu_intercept"), c("_b1").alias("mu_slope"), F.sqrt("_o00").alias("sd_intercept"), F.sqrt("_o11").alias("sd_slope"),
+                      (c("_o01") / F.sqrt(c("_o00") * c("_o11"))).alias("cor"), F.sqrt("_s2").alias("sigma"), "loglik", "converged", "iterations")

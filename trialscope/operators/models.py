@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialscope.functions.normal import qlogis
-from trialscope.operators.fits import (ORDINAL_FORMS, censored_fit, glm2_fit, heuristic_shares, logit_fit, mixture_fit,  # noqa: F401
-                                       ordinal_fit, probit_fit)
+from trialscope.operators.fits import (ORDINAL_FORMS, censored_fit, glm2_fit, heuristic_shares, llo_hierarchical, logit_fit,  # noqa: F401
+                                       mixture_fit, ordinal_fit, probit_fit)
 
 # H1 ------------------------------------------------------------------------
 def llo_fit(df: DataFrame, keys: Sequence[str], y: str = "lo_p_sup", x: str = "lo_ground_truth") -> DataFrame:
@@ -189,3 +189,31 @@ def worker_draws(df: DataFrame, n: int, seed: int = 21, worker: str = "worker_id
                                         F.sum(w * F.col(x) * F.col(x)).alias("sxx"), F.sum(w * F.col(x) * F.col(y)).alias("sxy"))
     a, b = _ols2(F.col("sw"), F.col("sx"), F.col("sy"), F.col("sxx"), F.col("sxy"))
     return s.select(worker, "draw", a.alias("intercept"), b.alias("slope"))
+
+
+def worker_effect_draws(df: DataFrame, population: DataFrame, seed: int = 31, group: str = "condition", worker: str = "worker_id",
+                        y: str = "lo_p_sup", x: str = "lo_ground_truth") -> DataFrame:
+    """Lines of workers under each draw of the population's line: (group, worker, draw, intercept, slope).
+
+    ``population`` is (group, draw, intercept, slope).  A worker's effect is the difference of their own least-squares line
+    from their group's, with its 2 x 2 sampling covariance, drawn by Cholesky from two hashed normals of (worker, draw). All
+    of it comes from one row of sums a worker, so only workers x draws rows are made. Workers need three trials and two
+    values of x.
+    """
+    from trialscope.operators.draws import hash_normal
+    sums = [F.regr_count(y, x).cast("double").alias("_n"), F.regr_avgx(y, x).alias("_mx"), F.regr_slope(y, x).alias("_b"), F.regr_intercept(y, x).alias("_a"),
+            F.regr_sxx(y, x).alias("_sxx"), F.regr_syy(y, x).alias("_syy"), F.regr_sxy(y, x).alias("_sxy")]
+    per = df.groupBy(group, worker).agg(*sums).where("_n >= 3 and _sxx > 0")
+    whole = df.groupBy(group).agg(F.regr_slope(y, x).alias("_gb"), F.regr_intercept(y, x).alias("_ga"))
+    s2 = F.greatest(F.col("_syy") - F.col("_sxy") * F.col("_sxy") / F.col("_sxx"), F.lit(0.0)) / (F.col("_n") - 2)
+    per = per.join(whole, group).select(group, worker, (F.col("_a") - F.col("_ga")).alias("_u0"), (F.col("_b") - F.col("_gb")).alias("_u1"),
+                                        "_mx", "_n", "_sxx", s2.alias("_s2"))
+    root = F.sqrt(1 / F.col("_n") + F.col("_mx") * F.col("_mx") / F.col("_sxx"))
+    # Cholesky factor of s2 (X'X)^-1; the last pivot is s2 / sxx less the part that the intercept explains
+    sd = F.sqrt("_s2")
+    l10 = -F.col("_mx") / F.col("_sxx") / root
+    per = per.withColumns({"_l00": sd * root, "_l10": sd * l10, "_l11": sd * F.sqrt(F.greatest(1 / F.col("_sxx") - l10 * l10, F.lit(0.0)))})
+    each = per.join(population, group)
+    each = each.withColumns({"_z0": hash_normal(worker, "draw", seed=seed), "_z1": hash_normal(worker, "draw", seed=seed + 1)})
+    return each.select(group, worker, "draw", (F.col("intercept") + F.col("_u0") + F.col("_l00") * F.col("_z0")).alias("intercept"),
+                       (F.col("slope") + F.col("_u1") + F.col("_l10") * F.col("_z0") + F.col("_l11") * F.col("_z1")).alias("slope"))

@@ -14,7 +14,7 @@ from trialscope.operators import models as H
 from trialscope.operators import utility as U
 from trialscope.plans.q_models import CELLS_SQL, HEUR_SQL, QD, _stimuli
 from trialscope.plans.registry import query
-from trialscope.plans.sqltext import with_ctes
+from trialscope.plans.sqltext import normal_sql, with_ctes
 from trialscope.sources import fixtures as X
 from trialscope.sources import io as A
 
@@ -152,3 +152,29 @@ def g4(spark, sf):
                   F.struct(F.lit(1.0).alias("lo_ground_truth"), (F.col("intercept") + F.col("slope")).alias("value")))
     return wd.select("worker_id", "draw", F.explode(pts).alias("_p")).select(
         "worker_id", "draw", "_p.lo_ground_truth", "_p.value")
+
+
+_EFFECTS = (
+    "SELECT p.condition, p.worker_id, q.draw, q.a + (p.a - g.a) + sqrt(p.s2) * p.root * {z0} AS intercept, "
+    "q.b + (p.b - g.b) + sqrt(p.s2) * (p.l10 * {z0} + sqrt(greatest(1 / p.sxx - p.l10 * p.l10, 0.0)) * {z1}) AS slope FROM ("
+    "SELECT *, -mx / sxx / root AS l10 FROM (SELECT *, greatest(syy - sxy * sxy / sxx, 0.0) / (n - 2) AS s2, sqrt(1 / n + mx * mx / sxx) AS root FROM ("
+    "SELECT condition, worker_id, CAST(regr_count(lo_p_sup, lo_ground_truth) AS DOUBLE) AS n, regr_avgx(lo_p_sup, lo_ground_truth) AS mx, "
+    "regr_slope(lo_p_sup, lo_ground_truth) AS b, regr_intercept(lo_p_sup, lo_ground_truth) AS a, regr_sxx(lo_p_sup, lo_ground_truth) AS sxx, "
+    "regr_syy(lo_p_sup, lo_ground_truth) AS syy, regr_sxy(lo_p_sup, lo_ground_truth) AS sxy FROM model GROUP BY ALL) WHERE n >= 3 AND sxx > 0)) p "
+    "JOIN (SELECT condition, regr_slope(lo_p_sup, lo_ground_truth) AS b, regr_intercept(lo_p_sup, lo_ground_truth) AS a FROM model GROUP BY ALL) g USING (condition) "
+    "JOIN (SELECT CASE term // 8 WHEN 0 THEN 'densities' WHEN 1 THEN 'intervals' WHEN 2 THEN 'HOPs' ELSE 'QDPs' END AS condition, draw, "
+    "avg(beta) FILTER (WHERE term % 2 = 0) AS a, avg(beta) FILTER (WHERE term % 2 = 1) AS b FROM draws100 WHERE term < 32 GROUP BY ALL) q USING (condition)"
+).format(z0=normal_sql("p.worker_id", "q.draw", seed=31), z1=normal_sql("p.worker_id", "q.draw", seed=32))
+
+
+@query("G4_worker_effect_draws", with_ctes(
+    f"SELECT condition, worker_id, draw, lo_ground_truth, {r6('intercept + lo_ground_truth * slope', 'value')} FROM ({_EFFECTS}), "
+    "(SELECT unnest([0.0, 1.0]) AS lo_ground_truth)", "model", "draws100"))
+def g4_effects(spark, sf):
+    """Fitted draws with worker effects: 100 of the population's draws plus workers' own lines, at truth 0 and 1."""
+    coefs = G.cell_coefficients(G.take_draws(X.draws_wide(spark, sf), 100))
+    name = F.element_at(F.array(*map(F.lit, X.CONDITIONS)), (F.floor(F.col("cell") / 4) + 1).cast("int"))
+    population = coefs.groupBy(name.alias("condition"), "draw").agg(F.avg("b0").alias("intercept"), F.avg("b1").alias("slope"))
+    lines = H.worker_effect_draws(model(spark, sf), population)
+    at = F.array(*(F.struct(F.lit(v).alias("lo_ground_truth"), (F.col("intercept") + F.lit(v) * F.col("slope")).alias("value")) for v in (0.0, 1.0)))
+    return lines.select("condition", "worker_id", "draw", F.explode(at).alias("_p")).select("condition", "worker_id", "draw", "_p.*")

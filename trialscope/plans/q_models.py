@@ -85,6 +85,12 @@ def h3(spark, sf):
     return H.llo_shrink(model(spark, sf), keys=["condition"])
 
 
+@query("H3_llo_hierarchical")
+def h3_hierarchical(spark, sf):
+    """Workers' lines around their condition's, intercept and slope varying together between workers."""
+    return H.llo_hierarchical(model(spark, sf), ["condition"], tol=1e-5)
+
+
 @query("H4_log_sigma_fit")
 def h4(spark, sf):
     """Residual spread by sd level and means (two passes)."""
