@@ -317,16 +317,18 @@ def expected_category(df: DataFrame, keys: Sequence[str], k: str = "category", p
 
 
 # D29 -----------------------------------------------------------------------
-def payoff_table(df: DataFrame, key: str = "baseline", payoff: str = "expected_payoff", start: str = "starting_value",
-                 most: str = "max_value", budget: float = 2.5) -> DataFrame:
+def payoff_table(df: DataFrame, key: str = "baseline", payoff: str = "expected_payoff", k: str = "award_value", n: Column | None = None,
+                 budget: float = 2.5) -> DataFrame:
     """Per ``key``: expected and greatest value of an account, the rate that turns the expected value into the budget, bonuses.
 
-    ``start`` and ``most`` are constants of a key's rows.
+    The account starts at n + n / 2 * K for ``n`` trials (an aggregate; by default the rows) of award value ``k``.
     """
-    g = df.groupBy(key).agg((F.max(start) + F.sum(payoff)).alias("expected_value"), F.max(most).alias("max_value"))
+    g = df.groupBy(key).agg((F.count(F.lit(1)) if n is None else n).alias("_n"), F.max(k).alias("_k"), F.sum(payoff).alias("_p"))
+    half = F.col("_n") / 2 * F.col("_k")
+    g = g.select(key, (F.col("_n") + half + F.col("_p")).alias("expected_value"), (F.col("_n") + half + half).alias("max_value"))
     g = g.withColumn("exchange_rate", F.bround(F.try_divide(F.lit(budget), F.col("expected_value")), 5))
     # bonuses at 4 decimals: value x 5-decimal rate has exact ties at the 7th
-    return g.withColumns({f"{n}_bonus": F.bround(F.col(f"{n}_value") * F.col("exchange_rate"), 4) for n in ("expected", "max")})
+    return g.withColumns({f"{v}_bonus": F.bround(F.col(f"{v}_value") * F.col("exchange_rate"), 4) for v in ("expected", "max")})
 
 
 # D30 -----------------------------------------------------------------------

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialscope.functions.normal import _col, qlogis
+from trialscope.operators import ranks
 
 
 def if_na(cond: Column, yes, no) -> Column:
@@ -104,16 +105,20 @@ def level_index(c, levels: list) -> Column:
 
 
 def with_level(df: DataFrame, col: str, levels: list | None = None, out: str | None = None) -> DataFrame:
-    """Ordered factor code: listed levels keep their order; otherwise sorted distinct values (dense rank).
+    """Ordered factor code: listed levels keep their order; otherwise the place among the sorted distinct values.
 
-    The dense-rank form needs a global order, so it is meant for low-cardinality columns
-    (conditions, design cells); the listed form is a pure expression.
+    The listed form is a pure expression. The other joins a dictionary that is numbered by ranges, so a column may have any
+    number of values. NULL has no code.
     """
     out = out or f"{col}_idx"
     if levels is not None:
         return df.withColumn(out, level_index(col, levels))
-    codes = df.select(col).distinct().withColumn(out, F.dense_rank().over(Window.orderBy(col)).cast("int"))
-    return df.join(codes, col, "left")
+    return df.join(dictionary(df, col, out).withColumn(out, (F.col(out) + 1).cast("int")), col, "left")
+
+
+def dictionary(df: DataFrame, col: str, out: str = "code") -> DataFrame:
+    """(col, out): the distinct values of a column, NULL left out, numbered from 0 in their order."""
+    return ranks.ordered(df.select(col).where(F.col(col).isNotNull()).distinct(), [col], out)
 
 
 # B12 -----------------------------------------------------------------------

@@ -8,12 +8,14 @@ shuffle size at run time and switches to a broadcast join only under
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialscope.operators.aggregates import apply_exclusions  # noqa: F401  (C1 lives with D10)
+from trialscope.session import cut_lineage
 
 
 # C2 ------------------------------------------------------------------------
@@ -100,16 +102,35 @@ def expand_values(df: DataFrame, col: str, values: Sequence) -> DataFrame:
 
 # C11 -----------------------------------------------------------------------
 def full_grid(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """All combinations of the distinct values of ``cols`` (ungrouped ``data_grid``).
+    """All combinations of the distinct values of ``cols`` (ungrouped ``data_grid``), NULL left out.
 
-    Meant for design factors (few levels each).  The distinct sets are collected by one
-    partial/final aggregate and crossed with ``explode``; the grid size is the product of
-    the level counts, independent of the number of rows.
+    The grid is a range of cell numbers, whose digits are joined to each column's dictionary: only the numbers of values
+    reach the driver, and neither a column's values nor the grid ever stand in one row or one task.
     """
-    sets = df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in cols])
+    from trialscope.operators.clean import dictionary
+    seen = cut_lineage(df.select(*cols).distinct())
+    books = {c: cut_lineage(dictionary(seen, c, f"_at_{c}")) for c in cols}
+    sizes = {c: book.count() for c, book in books.items()}
+    grid, below = df.sparkSession.range(math.prod(sizes.values())), 1
     for c in cols:
-        sets = sets.withColumn(c, F.explode(c))
-    return sets
+        grid = grid.withColumn(f"_at_{c}", F.expr(f"(id div {below}) % {max(1, sizes[c])}"))
+        below *= max(1, sizes[c])
+    for c, book in books.items():
+        grid = grid.join(book, f"_at_{c}")
+    return grid.select(*cols)
+
+
+# C14 -----------------------------------------------------------------------
+def level_pairs(df: DataFrame, by: str, levels: Sequence, keys: Sequence[str], value: str) -> DataFrame:
+    """Every two levels of ``by`` in their order within each (keys): left, right and right's value less left's.
+
+    An equi-join on the keys (draw among them), whose rows are one a level, with the index inequality as its condition.
+    """
+    at = F.array_position(F.array(*map(F.lit, levels)), F.col(by))
+    side = df.where(at > 0).select(*keys, F.col(by).alias("_by"), at.alias("_i"), F.col(value).alias("_v"))
+    left, right = (side.withColumnsRenamed({c: f"{n}{c}" for c in ("_by", "_i", "_v")}) for n in ("l", "r"))
+    pairs = left.join(right, list(keys)).where("l_i < r_i")
+    return pairs.select(*keys, F.col("l_by").alias("left"), F.col("r_by").alias("right"), (F.col("r_v") - F.col("l_v")).alias(value))
 
 
 # C12 -----------------------------------------------------------------------

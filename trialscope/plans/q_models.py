@@ -284,15 +284,7 @@ def i5(spark, sf):
     + f" FROM (SELECT worker_id, n_trials, award_value, n_trials + n_trials / 2 * award_value AS s, "
     f"{EXP_PAY.format(si=FR_SI)} AS ep FROM framed) GROUP BY worker_id, s", "framed"))
 def d29(spark, sf):
-    f = _framed_payoff(spark, sf).withColumn("starting_value", U.starting_value())
-    g = f.groupBy("worker_id").agg(F.first("starting_value").alias("s"), F.sum("expected_payoff").alias("ep"),
-                                   F.max("n_trials").alias("n"), F.max("award_value").alias("k"))
-    ex = F.bround(F.lit(2.5) / (F.col("s") + F.col("ep")), 5)
-    return g.select("worker_id", (F.col("s") + F.col("ep")).alias("expected_value"),
-                    (F.col("s") + F.col("n") / 2 * F.col("k")).alias("max_value"), ex.alias("exchange_rate"),
-                    # bonuses at 4 decimals: value x 5-decimal rate has exact ties at the 7th
-                    F.bround((F.col("s") + F.col("ep")) * ex, 4).alias("expected_bonus"),
-                    F.bround((F.col("s") + F.col("n") / 2 * F.col("k")) * ex, 4).alias("max_bonus"))
+    return D.payoff_table(_framed_payoff(spark, sf), "worker_id", n=F.max("n_trials"))
 
 
 def _tax_sql(x: str) -> str:
