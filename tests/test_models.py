@@ -160,3 +160,27 @@ def test_worker_effects_have_the_line_s_covariance(spark):
         assert len(d) == 4000
         assert np.allclose(d.mean(axis=0), beta - whole + [1.0, 2.0], atol=5 * np.sqrt(np.diag(V) / 4000))
         assert np.allclose(np.cov(d.T), V, rtol=0.15, atol=0.05 * V.max())
+
+
+def test_prior_is_a_ridge_towards_its_mean(spark):
+    df, rows = _toy(spark)
+    coefs = H.llo_pooled(df, {"intercept": F.lit(1.0), "x": F.col("x")}, "y", prior={"x": (2.0, 0.05)})
+    X = np.array([[1.0, r[2]] for r in rows]); y = np.array([r[3] for r in rows])
+    pull = np.diag([0.0, 1 / 0.05 ** 2])
+    ref = np.linalg.solve(X.T @ X + pull, X.T @ y + pull @ [0.0, 2.0])
+    assert np.allclose([coefs["intercept"], coefs["x"]], ref, atol=1e-9)
+    loose = H.llo_pooled(df, {"intercept": F.lit(1.0), "x": F.col("x")}, "y")
+    assert loose["x"] < coefs["x"] < 2.0
+
+
+def test_log_sigma_two_passes(spark):
+    rng = np.random.default_rng(9)
+    x = rng.uniform(-1, 1, 3000); g = rng.integers(0, 2, 3000)
+    y = 0.4 + 0.9 * x + rng.normal(size=3000) * np.exp(-1 + 0.7 * g)
+    df = spark.createDataFrame([(float(a), int(b), float(c)) for a, b, c in zip(x, g, y)], "x double, g int, y double")
+    got = H.log_sigma_fit(df, {"intercept": F.lit(1.0), "x": F.col("x")}, {"intercept": F.lit(1.0), "g": F.col("g").cast("double")}, "y")
+    X, Z = np.column_stack([np.ones(3000), x]), np.column_stack([np.ones(3000), g])
+    beta = np.linalg.lstsq(X, y, rcond=None)[0]
+    spread = np.linalg.lstsq(Z, np.log(np.maximum((y - X @ beta) ** 2, 1e-12)) + 1.2704, rcond=None)[0] / 2
+    assert np.allclose(list(got["mean"].values()), beta, atol=1e-9) and np.allclose(list(got["log_sigma"].values()), spread, atol=1e-9)
+    assert abs(got["log_sigma"]["g"] - 0.7) < 0.1

@@ -194,11 +194,9 @@ def strategy_table(df: DataFrame, flags: Sequence[str], key: str = "condition",
 
 # D19 -----------------------------------------------------------------------
 def answer_rate(df: DataFrame, flag: str = "answered", key: str = "condition") -> DataFrame:
-    """Answered count and base rate per condition: two aggregates full-joined."""
-    a = df.filter(F.col(flag)).groupBy(key).agg(F.count(F.lit(1)).alias("n_answered"))
-    b = df.groupBy(key).agg(F.count(F.lit(1)).alias("n_total"))
-    return (a.join(b, key, "full").fillna(0, ["n_answered"])
-            .withColumn("answer_rate", F.col("n_answered") / F.col("n_total")))
+    """Answered count and base rate per condition, both from one conditional aggregate."""
+    g = df.groupBy(key).agg(F.count_if(flag).alias("n_answered"), F.count(F.lit(1)).alias("n_total"))
+    return g.withColumn("answer_rate", F.col("n_answered") / F.col("n_total"))
 
 
 # D20 -----------------------------------------------------------------------

@@ -165,12 +165,13 @@ def log_sigma_fit(df: DataFrame, mean_features: dict[str, Column], sigma_feature
 
 
 # H13 -----------------------------------------------------------------------
-def intercept_fit(df: DataFrame, col: str, keys: Sequence[str] = (), binary: bool = False) -> DataFrame:
-    """Intercept-only model: mean and sd (gaussian) or log odds of the mean (bernoulli)."""
-    if binary:
-        return df.groupBy(*keys).agg(F.avg(F.col(col).cast("double")).alias("_p")).select(
-            *keys, qlogis("_p").alias("intercept"))
-    return df.groupBy(*keys).agg(F.avg(col).alias("intercept"), F.stddev_samp(col).alias("sigma"))
+def intercept_fit(df: DataFrame, col: str, keys: Sequence[str] = (), binary: str | None = None) -> DataFrame:
+    """Intercept-only models in one pass: mean and sd of ``col`` (gaussian), log odds of the mean of ``binary`` (bernoulli)."""
+    aggs = [F.avg(col).alias("intercept"), F.stddev_samp(col).alias("sigma")]
+    if binary is None:
+        return df.groupBy(*keys).agg(*aggs)
+    return df.groupBy(*keys).agg(*aggs, F.avg(F.col(binary).cast("double")).alias("_p")).select(
+        *keys, "intercept", "sigma", qlogis("_p").alias("intercept_decision"))
 
 
 # G4 ------------------------------------------------------------------------

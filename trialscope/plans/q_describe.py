@@ -315,11 +315,10 @@ def c1(spark, sf):
     "(SELECT condition, ground_truth, count(*) AS n_over FROM trials WHERE p_superiority > 50 AND intervene = 1 GROUP BY ALL) a "
     "FULL JOIN (SELECT condition, ground_truth, count(*) AS n FROM trials GROUP BY ALL) b USING (condition, ground_truth)", "trials"))
 def c3(spark, sf):
-    t = B.clean_trials(X.responses(spark, sf))
-    a = t.filter((F.col("p_superiority") > 50) & (F.col("intervene") == 1)).groupBy("condition", "ground_truth") \
-        .agg(F.count(F.lit(1)).alias("n_over"))
-    b = t.groupBy("condition", "ground_truth").agg(F.count(F.lit(1)).alias("n"))
-    return C.rate_table(a, b, ["condition", "ground_truth"], {"n_over": 0})
+    """A count and its base, which share their keys and rows: one conditional aggregate (``rate_table`` joins unlike tables)."""
+    over = (F.col("p_superiority") > 50) & (F.col("intervene") == 1)
+    return B.clean_trials(X.responses(spark, sf)).groupBy("condition", "ground_truth").agg(
+        F.count_if(over).alias("n_over"), F.count(F.lit(1)).alias("n"))
 
 
 @query("C4_drop_combinations", with_ctes(
@@ -443,9 +442,9 @@ def e4(spark, sf):
     f"SELECT 'Overall' AS condition, {r6(f'avg(abs({ERR}))', 'mae')} FROM trials", "trials"))
 def e5(spark, sf):
     t = B.errors(B.clean_trials(X.responses(spark, sf)))
-    per = t.groupBy("condition").agg(F.avg("abs_err_p_sup").alias("mae"))
-    tot = t.agg(F.avg("abs_err_p_sup").alias("mae")).withColumn("condition", F.lit("Overall"))
-    return E.union_rows(per, tot)
+    """Rows per condition and one over all: a rollup reads the trials once."""
+    both = t.rollup("condition").agg(F.avg("abs_err_p_sup").alias("mae"), F.grouping("condition").alias("_all"))
+    return both.select(F.when(F.col("_all") == 1, "Overall").otherwise(F.col("condition")).alias("condition"), "mae")
 
 
 @query("E6_distinct", with_ctes(f"SELECT DISTINCT condition, {rnd('ground_truth')}, sd_diff FROM trials", "trials"))

@@ -131,11 +131,11 @@ AWARD = ("exp({x}) / ((1.0/(0.5 + 1.0/2.25) - 1.0) + exp({x})) - (0.5 + 1.0/2.25
     f"SELECT condition, sd_diff, means, draw, {r6(AWARD.format(x='pse'), 'pse_p_award')}, {r6(AWARD.format(x='jnd'), 'jnd_p_award')} "
     "FROM psy_dec", "psy_dec"))
 def g8(spark, sf):
-    m = model(spark, sf)
-    # exactly one baseline and award value, checked inside the scalar subquery
-    one = lambda c: m.agg(F.when(F.min(c) == F.max(c), F.max(c)).otherwise(F.raise_error(f"{c} is not unique"))).scalar()
-    p = psy_dec(spark, sf)
-    c = one("baseline") + F.lit(1.0) / one("award_value")
+    # exactly one baseline and award value, checked inside one scalar subquery
+    one = lambda c: F.when(F.min(c) == F.max(c), F.max(c)).otherwise(F.raise_error(f"{c} is not unique"))
+    scale = model(spark, sf).agg(F.struct(one("baseline").alias("b"), one("award_value").alias("k"))).scalar()
+    p = psy_dec(spark, sf).withColumn("_scale", scale)
+    c = F.col("_scale.b") + F.lit(1.0) / F.col("_scale.k")
     k = F.lit(1.0) / c - F.lit(1.0)
     out = p.withColumns({f"{x}_p_award": F.exp(F.col(x)) / (k + F.exp(F.col(x))) - c for x in ("pse", "jnd")})
     return out.select(*GRID, "draw", "pse_p_award", "jnd_p_award")

@@ -107,8 +107,7 @@ def g14(spark, sf):
 
 def _single(names: list[str]):
     def fn(spark, sf):
-        h = U.heuristic_table(_stimuli(spark, sf), ["ground_truth", "sd_diff"])
-        return h.filter(F.col("heuristic").isin(names))
+        return U.heuristic_table(_stimuli(spark, sf), ["ground_truth", "sd_diff"], names)
     return fn
 
 

@@ -17,7 +17,7 @@ from trialscope.operators import models as H
 from trialscope.operators import reshape as E
 from trialscope.operators import utility as U
 from trialscope.plans.registry import query
-from trialscope.plans.sqltext import u_sql, with_ctes
+from trialscope.plans.sqltext import CELL, u_sql, with_ctes
 from trialscope.session import cut_lineage
 from trialscope.sources import fixtures as X
 
@@ -196,13 +196,22 @@ def h12(spark, sf):
     f"{r6('ln(avg(CAST(intervene AS DOUBLE)) / (1.0 - avg(CAST(intervene AS DOUBLE))))', 'intercept_decision')} "
     "FROM model GROUP BY condition", "model"))
 def h13(spark, sf):
-    m = model(spark, sf)
-    g = H.intercept_fit(m, "lo_p_sup", ["condition"])
-    b = H.intercept_fit(m, "intervene", ["condition"], binary=True).withColumnRenamed("intercept", "intercept_decision")
-    return g.join(b, "condition")
+    return H.intercept_fit(model(spark, sf), "lo_p_sup", ["condition"], "intervene")
+
+
+_LL = "-0.5 * (lo_p_sup - {mu}) * (lo_p_sup - {mu}) - 0.9189385332046727"
 
 
-@query("H14_compare_models")
+@query("H14_compare_models", with_ctes(
+    f"SELECT model, {rnd('lppd p_waic elpd_waic')}, {r6('-2.0 * elpd_waic', 'waic')}, n_obs, {r6('elpd_waic - max(elpd_waic) OVER ()', 'elpd_diff')} FROM ("
+    "SELECT model, sum(lppd) AS lppd, sum(p_waic) AS p_waic, sum(lppd) - sum(p_waic) AS elpd_waic, count(*) AS n_obs FROM ("
+    "SELECT model, event_id, max(m) + ln(sum(exp(ll - m))) - ln(count(*)) AS lppd, var_samp(ll) AS p_waic FROM (SELECT *, max(ll) OVER (PARTITION BY model, event_id) AS m FROM ("
+    f"SELECT 'llo' AS model, event_id, {_LL.format(mu='(a + lo_ground_truth * b)')} AS ll FROM cells UNION ALL "
+    f"SELECT 'unbiased' AS model, event_id, {_LL.format(mu='(a + lo_ground_truth)')} AS ll FROM cells)) GROUP BY model, event_id) GROUP BY model)",
+    "model", "draws").replace("\nSELECT model, ", f""",
+cells AS (SELECT m.event_id, m.lo_p_sup, m.lo_ground_truth, a.beta AS a, b.beta AS b FROM (SELECT *, 2*{CELL} AS term FROM model) m JOIN draws a ON a.term = m.term
+  JOIN draws b ON b.term = m.term + 1 AND b.draw = a.draw)
+SELECT model, """, 1))
 def h14(spark, sf):
     """WAIC of the cell LLO model vs the same model with slopes fixed at 1, and the difference."""
     m = model(spark, sf).select("event_id", "condition", "sd_diff", "means", "lo_ground_truth", "lo_p_sup")
