@@ -3,8 +3,8 @@
 Documents are reduced to distinct fingerprints first, so any number of copies is one row. Fingerprints within
 ``radius`` bits agree on at least one of ``radius + 1`` bands, so each band's value is a bucket and no link is
 lost. A bucket's fingerprints are stored as vertical bit planes, 64 fingerprints to a machine word: a query
-XORs plane after plane, updates all its distances at once with a carry-save bitwise counter, and leaves the
-block when every lane is beyond the radius. A bucket emits at most one edge a fingerprint (its local
+XORs plane after plane, updates all its distances at once with a carry-save bitwise counter, and leaves a
+word of lanes when all of them are beyond the radius (its own lane counts as beyond). A bucket emits at most one edge a fingerprint (its local
 component), and alternating stars join the edges into components. Buckets of more than ``BLOCK`` fingerprints
 are compared block by block in separate tasks.
 """
@@ -27,6 +27,9 @@ RADIUS = 4
 SEED = 42
 BLOCK = 1 << 15
 QUERIES = 64
+FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: planes read by all blocks, and planes after which finished blocks are dropped
+DENSE, STEP = 16, 4
 
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -64,24 +67,58 @@ def planes(values: np.ndarray) -> np.ndarray:
     return np.packbits(padded, axis=1, bitorder="little").view("<u8")
 
 
-def within(queries: np.ndarray, lanes: np.ndarray, n: int, radius: int, skip: int = 0) -> np.ndarray:
-    """Which of the n lanes (bit planes) are within the radius of each query? ``skip``: bits known to be equal."""
+def unfinished(beyond: np.ndarray) -> np.ndarray:
+    """Blocks (words of 64 lanes) with a lane that is still within the radius; the others are abandoned."""
+    return np.flatnonzero(beyond != FULL)
+
+
+def within(queries: np.ndarray, lanes: np.ndarray, n: int, radius: int, skip: int = 0, own: np.ndarray | None = None) -> np.ndarray:
+    """Which of the n lanes (bit planes) are within the radius of each query? ``skip``: bits known to be equal.
+
+    A block is one query against one word of 64 lanes. After ``DENSE`` planes over all blocks, and again every ``STEP``, the
+    blocks whose lanes are all beyond the radius are dropped, and only the others read the next planes. ``own`` is each
+    query's own lane, if it has one: it counts as beyond, as it would never let its block go.
+    """
     bits = np.unpackbits(queries.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    masks = (bits.T.astype(np.uint64) * np.uint64(0xFFFFFFFFFFFFFFFF))[:, :, None]
+    masks = bits.T.astype(np.uint64) * FULL
     depth = (radius + 1).bit_length()
     start = (1 << depth) - (radius + 1)  # the counter starts here, so that it overflows beyond the radius
-    full = np.uint64(0xFFFFFFFFFFFFFFFF)
     shape = (len(queries), lanes.shape[1])
-    counter = [np.full(shape, full if start >> k & 1 else np.uint64(0)) for k in range(depth)]
+    counter = [np.full(shape, FULL if start >> k & 1 else np.uint64(0)) for k in range(depth)]
     beyond = np.zeros(shape, dtype=np.uint64)
-    for step, j in enumerate(j for j in range(64) if not skip >> j & 1):
-        carry = lanes[j] ^ masks[j]
+    if n % 64:
+        beyond[:, -1] = FULL << np.uint64(n % 64)  # lanes that pad the last word
+    if own is not None:
+        beyond[np.arange(len(own)), own // 64] |= np.uint64(1) << (own % 64).astype(np.uint64)
+
+    def add(carry: np.ndarray) -> None:
         for k in range(depth):
             counter[k], carry = counter[k] ^ carry, counter[k] & carry
-        beyond |= carry
-        if step % 8 == 7 and (beyond == full).all():
-            break
-    return ~np.unpackbits(beyond.view(np.uint8), axis=1, count=n, bitorder="little").astype(bool)
+        beyond[...] |= carry
+
+    order = [j for j in range(64) if not skip >> j & 1]
+    for j in order[:DENSE]:
+        add(lanes[j] ^ masks[j][:, None])
+    out = beyond.ravel()
+    at = unfinished(out)
+    for step, j in enumerate(order[DENSE:]):
+        if step % STEP == 0:
+            if step:
+                out[at] = beyond
+                at = at[unfinished(beyond)]
+            if not len(at):
+                break
+            if step:
+                keep = unfinished(beyond)
+                counter = [c[keep] for c in counter]
+            else:
+                counter = [c.ravel()[at] for c in counter]
+            query, word = np.divmod(at, shape[1])
+            beyond = out[at]
+        add(lanes[j][word] ^ masks[j][query])
+    else:
+        out[at] = beyond if len(order) > DENSE else out[at]
+    return ~np.unpackbits(out.reshape(shape).view(np.uint8), axis=1, count=n, bitorder="little").astype(bool)
 
 
 def _local_edges(values: np.ndarray, part: np.ndarray, radius: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +129,8 @@ def _local_edges(values: np.ndarray, part: np.ndarray, radius: int, skip: int) -
     lanes = planes(values[lanes_at])
     for k in range(0, len(query_at), QUERIES):
         ask = query_at[k:k + QUERIES]
-        hit = within(values[ask], lanes, len(lanes_at), radius, skip)
+        own = np.arange(k, k + len(ask)) if len(lanes_at) == len(query_at) and part.max() == part.min() else None
+        hit = within(values[ask], lanes, len(lanes_at), radius, skip, own)
         for q, row in zip(ask, hit):
             near = np.append(lanes_at[row], q)
             if len(near) > 1:
