@@ -1,8 +1,8 @@
 """Line dedup with levelled sorted runs of line hashes. DataFrame functions only.
 
 Documents come in batches, the greatest ids first. A *run* is a table of line keys (128 bits of hash, bucketed
-by range and sorted): how many documents of its batches hold the key, and the greatest id holding it, the
-*keeper*. A batch's keys are merge-anti-joined with all runs: those in none are new and get a keeper from this
+and sorted): how many documents of its batches hold the key, and the greatest id holding it, the
+*keeper*. A batch's keys are merge-joined with each run: those in none (the anti-join) are new and get a keeper from this
 batch; those found only add to the count. The batch adds one run of its own; after every ``fanout`` runs of a
 level these are compacted into one run of the next level. At the end all runs are merged; keys held by at least
 ``min_docs`` documents lose their lines everywhere but in the keeper.
@@ -25,6 +25,7 @@ FANOUT = 2
 #: a key with more than one in HEAVY of all repeated lines is dealt over SALTS tasks; there are fewer than HEAVY of them
 HEAVY = 4096
 SALTS = 64
+KEYS = ["k1", "k2"]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -36,42 +37,62 @@ def line_key(line: Column) -> Column:
 
 
 class Runs:
-    """Levelled runs in the session's shared checkpoint folder."""
+    """Levelled runs: tables bucketed and sorted by key, in the session's shared checkpoint folder.
+
+    A bucket is one sorted file, so runs are merged with one another and with a batch in the order they are stored in: only
+    a batch is shuffled, once.
+    """
 
     def __init__(self, spark: SparkSession, fanout: int):
         folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not folder:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         self.spark, self.fanout = spark, fanout
-        self.path, self.count = f"{folder}/line-runs-{uuid.uuid4().hex}", 0
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name, self.count = f"line_runs_{uuid.uuid4().hex}", 0
+        self.path = f"{folder}/{self.name}"
         self.levels: list[list[DataFrame]] = [[]]
 
     def all(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
     def _write(self, rows: DataFrame) -> DataFrame:
-        path = f"{self.path}/{self.count}"
+        name = f"{self.name}_{self.count}"
+        dealt = rows.repartition(self.buckets, *KEYS).sortWithinPartitions(*KEYS)
+        (dealt.write.format("parquet").option("path", f"{self.path}/{self.count}").bucketBy(self.buckets, *KEYS).sortBy(*KEYS)
+         .saveAsTable(name))
         self.count += 1
-        rows.sortWithinPartitions("k1", "k2").write.parquet(path)
-        return self.spark.read.schema(rows.schema).parquet(path)
+        return self.spark.table(name)
+
+    def drop(self) -> None:
+        """Forgets the tables' names."""
+        for k in range(self.count):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{k}")
 
     @staticmethod
     def merged(runs: list[DataFrame]) -> DataFrame:
+        """One run of several, by full merge joins: counts add up, the keeper is the greatest."""
         out = runs[0]
         for run in runs[1:]:
-            out = out.unionByName(run)
-        return out.groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"))
+            other = run.withColumnsRenamed({c: f"other_{c}" for c in run.columns})
+            pairs = out.join(other.hint("merge"), [F.col(k) == F.col(f"other_{k}") for k in KEYS], "full")
+            out = pairs.select(*(F.coalesce(k, f"other_{k}").alias(k) for k in KEYS),
+                               (F.coalesce("n", F.lit(0)) + F.coalesce("other_n", F.lit(0))).alias("n"),
+                               F.greatest("keeper", "other_keeper").alias("keeper"))
+        return out
 
     def add(self, batch: DataFrame) -> None:
-        """``batch``: k1, k2, n, keeper of one batch of documents, a row a key."""
+        """``batch``: k1, k2, n, keeper of one batch of documents, a row a key.
+
+        Every run is merged with it once: keys without a partner in any are new (the anti-join) and keep their keeper, those
+        with one only count.
+        """
         old = self.all()
+        for k, run in enumerate(old):
+            batch = batch.join(run.select(*KEYS, F.lit(True).alias(f"in{k}")).hint("merge"), KEYS, "left")
         if old:
-            seen = old[0].select("k1", "k2")
-            for run in old[1:]:
-                seen = seen.unionByName(run.select("k1", "k2"))
-            new = batch.join(seen.hint("merge"), ["k1", "k2"], "left_anti")
-            known = batch.join(seen.hint("merge"), ["k1", "k2"], "left_semi")
-            batch = new.unionByName(known.withColumn("keeper", F.lit(None).cast("long")))
+            new = F.coalesce(*(f"in{k}" for k in range(len(old)))).isNull()
+            batch = batch.select(*KEYS, "n", F.when(new, F.col("keeper")).alias("keeper"))
         self.levels[0].append(self._write(batch))
         level = 0
         while len(self.levels[level]) >= self.fanout:
@@ -120,6 +141,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         runs.add(part.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("id").alias("keeper")))
         upper = lower
     repeated = cut(Runs.merged(runs.all()).where(F.col("n") >= min_docs))
+    runs.drop()
     share = repeated.agg(F.sum("n") / HEAVY).scalar()
     hot = F.col("n") > share
     salted = keyed.join(F.broadcast(repeated.where(hot).select("k1", "k2", F.lit(SALTS).alias("_salts"))), ["k1", "k2"], "left")
