@@ -26,8 +26,8 @@ from .textbytes import slices, text_buffer
 
 SPACE = "▁"
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
-#: cached units and pairs a worker keeps before it starts anew
-CACHE = 200_000
+#: cached units (some 200 bytes each) and pairs a worker keeps before it starts anew
+CACHE, PAIRS = 600_000, 200_000
 NONE = float("-inf")
 _NO_PAIRS: dict[str, bool] = {}
 _OUT = pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
@@ -93,7 +93,7 @@ class Pieces:
         return part
 
     def follows(self, a: str, b: str) -> bool:
-        if self.n_pairs >= CACHE:
+        if self.n_pairs >= PAIRS:
             self.pairs, self.n_pairs = {p: {} for p in self.whole}, 0
         self.n_pairs += 1
         ok = a + b not in self.whole and self.merge(a + b) == [a, b]
