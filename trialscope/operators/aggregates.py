@@ -220,9 +220,10 @@ CHUNK = 1024
 
 def collect_chunks(df: DataFrame, keys: Sequence[str], order: Sequence, cols: Sequence[str], size: int | None = None) -> DataFrame:
     """All values of each group in an explicit order: ``cols`` as equal-length arrays of at most ``size`` (``CHUNK``)
-    values, one row per (group, chunk), with ``offset``, the number of the group's rows before the chunk."""
+    values, one row per (group, chunk), with ``offset``, the number of the group's rows before the chunk.  Rows are numbered
+    by ranges of the order, so no task reads a whole group."""
     size = size or CHUNK
-    ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    ranked = ranks.running(df.select(*dict.fromkeys((*keys, *order, *cols))), keys, order).withColumn("_rn", F.col("_before") + 1)
     return (ranked.groupBy(*keys, (F.col("_rn") - 1 - (F.col("_rn") - 1) % size).alias("offset"))
             .agg(F.sort_array(F.collect_list(F.struct("_rn", *cols))).alias("_s"))
             .select(*keys, "offset", *[F.col("_s").getField(c).alias(c) for c in cols]))
