@@ -82,6 +82,11 @@ def noise_state(*cols, seed: int = 0) -> Column:
     return x
 
 
+def noise_uniform(*cols, seed: int = 0) -> Column:
+    """Uniform on (0, 1) from ``noise_state``."""
+    return (noise_state(*cols, seed=seed) * LAST[0] % M31 + 0.5) / float(M31)
+
+
 def hash_normal(*cols, seed: int = 0) -> Column:
     """Standard normal from two hashed uniforms (Box-Muller) of integer keys: one ln, sqrt and cos per row, no
     branches and no strings, so it stays cheap inside generated code; reproducible on any engine."""

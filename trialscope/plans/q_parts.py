@@ -12,7 +12,7 @@ from trialscope.operators import utility as U
 from trialscope.plans.q_describe import EVID
 from trialscope.plans.q_models import (CELLS_SQL, EXP_PAY, FR_SI, HEUR_SQL, STIM_SQL, _framed_payoff, _stimuli, _tax_sql, r6, rnd, trials)
 from trialscope.plans.registry import ORACLE, query
-from trialscope.plans.sqltext import with_ctes
+from trialscope.plans.sqltext import noise_uniform_sql, with_ctes
 from trialscope.sources import fixtures as X
 from trialscope.sources import io as A
 
@@ -101,6 +101,21 @@ def i13_bets(spark, sf):
     return U.with_implied_bets(h).withColumn("est_bet", F.col("est_bet").cast("long"))
 
 
+_PAID = ("(CAST({u} <= CASE WHEN {c} THEN p_award_with ELSE p_award_without END AS DOUBLE) - CASE WHEN ground_truth > 0.5 THEN 0.0 ELSE 1.0 END) "
+         "* award_value - CAST({c} AS DOUBLE)")
+
+
+@query("I15_replay_log", with_ctes(
+    f"SELECT condition, iter, {r6('sum(' + _PAID.format(u='u1', c='g') + ')', 'random_payoff')}, CAST(sum(CAST(g = si AS INT)) AS BIGINT) AS random_correct, "
+    f"{r6('sum(' + _PAID.format(u='u2', c='si') + ')', 'optimal_payoff')}, count(*) AS n FROM (SELECT *, {noise_uniform_sql('event_id', 'iter', seed=11)} < 0.5 AS g, "
+    f"{noise_uniform_sql('event_id', 'iter', seed=12)} AS u1, {noise_uniform_sql('event_id', 'iter', seed=13)} AS u2 FROM "
+    f"(SELECT *, {FR_SI} AS si FROM framed), (SELECT CAST(unnest(range(1, 101)) AS INT) AS iter)) GROUP BY condition, iter", "framed"))
+def i15_log(spark, sf):
+    """The trial log replayed 100 times by coin flips and by the optimal rule, per condition."""
+    f = B.framed(trials(spark, sf)).withColumns({"frame": B.frame(), "should_intervene": B.should_intervene_framed()})
+    return U.replay_log(f, 100)
+
+
 # DuckDB texts of fits -------------------------------------------------------
 def newton_sql(key: str) -> str:
     """k, n, b0, b1, converged, iterations of logistic fits by Newton steps; NULL where x parts the outcomes."""

@@ -210,13 +210,23 @@ for _n in (100, 500):
     ORDER BY md5(CAST(draw AS VARCHAR) || '|1234') LIMIT {_n})""", ["draws"])
 
 
-def normal_sql(*cols: str, seed: int = 1234) -> str:
-    """Box-Muller standard normal from two hashed uniforms of integer keys, as ``draws.hash_normal``."""
+def noise_sql(*cols: str, seed: int = 1234) -> str:
+    """A 31-bit hash of integer keys and a seed, as ``draws.noise_state``."""
     x = f"{seed % M31}::BIGINT"
     for k, c in enumerate(cols):
         x = f"((({x} + (CAST({c} AS BIGINT) % {M31} + {M31}) % {M31}) % {M31}) * {MULTIPLIERS[k % 2]} % {M31})"
     for k, shift in enumerate((13, 11)):
         x = f"(xor({x}, {x} >> {shift}) * {MULTIPLIERS[2 + k]} % {M31})"
+    return x
+
+
+def noise_uniform_sql(*cols: str, seed: int = 1234) -> str:
+    return f"(({noise_sql(*cols, seed=seed)} * {LAST[0]} % {M31} + 0.5::DOUBLE) / {M31}.0::DOUBLE)"
+
+
+def normal_sql(*cols: str, seed: int = 1234) -> str:
+    """Box-Muller standard normal from two hashed uniforms of integer keys, as ``draws.hash_normal``."""
+    x = noise_sql(*cols, seed=seed)
     u1, u2 = (f"(({x} * {m} % {M31} + 0.5::DOUBLE) / {M31}.0::DOUBLE)" for m in LAST)
     return f"(sqrt(-2.0 * ln({u1})) * cos(6.283185307179586 * {u2}))"
 
