@@ -12,6 +12,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import pytest
 import xxhash
@@ -78,6 +79,36 @@ def test_suffix_array(spark, groups_of, length, modulus, size):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_suffix_array_whatever_order_a_round_brings_its_rows():
+    rnd = random.Random(8)
+    wrong = []
+    for _ in range(40):
+        p = "".join(rnd.choice("abc") for _ in range(200))
+        texts = ["".join(rnd.choice("xyz") for _ in range(rnd.randrange(20))) + p[a:a + m] + "Z" * rnd.randrange(3) + p[b:b + m // 2]
+                 for a, m, b in ((rnd.randrange(180), rnd.randrange(5, 90), rnd.randrange(180)) for _ in range(30))]
+        length, modulus = 12, 7
+        seen = Counter(t[i:i + length] for t in texts for i in range(len(t) - length + 1))
+        want = {}
+        for d, t in enumerate(texts):
+            gone = [False] * len(t)
+            for i in range(len(t) - length + 1):
+                if seen[t[i:i + length]] > 1:
+                    gone[i:i + length] = [True] * length
+            want[d] = "".join(x for x, g in zip(t, gone) if not g).encode()
+
+        def group():
+            order = rnd.sample(range(len(texts)), len(texts))
+            rows = pa.table({"id": pa.array(order, pa.int64()), "text": pa.array([texts[i] for i in order])})
+            return substring_array.Suffixes(rows, length, modulus, dict.fromkeys(range(1, 5), 2))
+        flags = rounds._FLAGS.empty_table()
+        for number, width in ((1, 6), (2, 12), (3, 6), (4, 12)):
+            made = getattr(group(), f"step{number}")(*([flags] if number > 1 else []))[-1]
+            flags = pa.concat_tables([flags, *(rounds._answer(number, width, made.table(0).filter(pc.equal(made.table(0)["b"], b))) for b in (0, 1))])
+        got = substring_array._cut(group(), flags)
+        wrong += [d for d, kept in zip(got["id"].to_pylist(), got["kept"].to_pylist()) if kept != want[d]]
+    assert not wrong
+
+
 def test_difference_covers():
     for v, cover in substring_array.COVERS.items():
         assert {(a - b) % v for a in cover for b in cover} == set(range(v))
