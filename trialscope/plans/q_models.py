@@ -16,6 +16,7 @@ from trialscope.operators import joins as C
 from trialscope.operators import models as H
 from trialscope.operators import reshape as E
 from trialscope.operators import utility as U
+from trialscope.plans.q_draws import coefficients, modelled, patterns
 from trialscope.plans.registry import query
 from trialscope.plans.sqltext import CELL, u_sql, with_ctes
 from trialscope.session import cut_lineage
@@ -214,14 +215,13 @@ cells AS (SELECT m.event_id, m.lo_p_sup, m.lo_ground_truth, a.beta AS a, b.beta
 SELECT model, """, 1))
 def h14(spark, sf):
     """WAIC of the cell LLO model vs the same model with slopes fixed at 1, and the difference."""
-    m = model(spark, sf).select("event_id", "condition", "sd_diff", "means", "lo_ground_truth", "lo_p_sup")
-    both = G.chunked(G.cell_coefficients(X.draws_wide(spark, sf)))
-    fit = G.fitted_by_cell(m, both, G.cell_index(levels=X.CONDITIONS), "lo_ground_truth", value="mu", parts=True)
+    fit, of = patterns(modelled(spark, sf), coefficients(spark, sf))
     mus = F.array(F.struct(F.lit("llo").alias("model"), F.col("mu").alias("mu")),
                   F.struct(F.lit("unbiased").alias("model"), (F.col("b0") + F.col("lo_ground_truth")).alias("mu")))
-    ll = fit.select("event_id", "lo_p_sup", F.explode(mus).alias("_m")).select(
-        "event_id", "_m.model", norm_logpdf("lo_p_sup", F.col("_m.mu"), 1.0).alias("ll"))
-    w = G.waic(ll, ["event_id"], model_key=["model"])
+    ll = fit.select("pattern", "lo_p_sup", F.explode(mus).alias("_m")).select(
+        "pattern", "_m.model", norm_logpdf("lo_p_sup", F.col("_m.mu"), 1.0).alias("ll"))
+    w = G.waic(ll, ["pattern"], model_key=["model"], counts=of.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")))
+    w = cut_lineage(w)  # a row a model, read twice
     best = w.agg(F.max("elpd_waic")).scalar()
     return w.withColumn("elpd_diff", F.col("elpd_waic") - best)
 
