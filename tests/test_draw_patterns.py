@@ -21,7 +21,7 @@ def test_md5_noise_of_arrays_equals_that_of_rows(spark):
 
 
 def test_predictions_come_from_md5_noise_on_both_sides(spark):
-    for name in ("G2_predicted_draws", "G21_tally_predictions"):
+    for name in ("G2_predicted_draws", "G12_predicted_error", "G21_tally_predictions"):
         assert ORACLE[name].count("md5(") >= 2, name
 
 
