@@ -163,6 +163,29 @@ def test_heuristic_shares(spark):
     assert all(r.converged for r in got) and abs(sum(v for k, v in table.items() if k[0] == "overall") - 1) < 1e-9
 
 
+def test_shares_of_small_groups_take_no_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(int(w) if w else None, rng.normal(-3, 2, 3).round(1).tolist(), float(rng.integers(1, 4))) for w in rng.integers(0, 6, 150)]
+    rows += [(7, [0.0, None, -1.0], 2.0), (8, [-1.0, float("nan"), 0.0], 1.0), (9, [-2.0, -2.0, -2.0], 1.0)]
+    data = spark.createDataFrame(rows, "g int, ll array<double>, _w double")
+
+    def shares(most, strength):
+        monkeypatch.setattr(fits, "LOCAL_ROWS", most)
+        toward = F.array(*map(F.lit, (0.5, 0.3, 0.2))) if strength else None
+        return {r.g: r for r in fits.mixture_shares(data, ["g"], 3, toward=toward, strength=strength, iters=8).collect()}
+
+    for strength in (0.0, 1.5):
+        rounds, mixed = shares(0, strength), shares(25, strength)
+        with monkeypatch.context() as m:
+            m.setattr(fits, "squarem", None)
+            local = shares(4096, strength)
+        for got in (local, mixed):
+            assert set(got) == set(rounds)
+            for g, r in rounds.items():
+                assert (got[g].n, got[g].converged, got[g].iterations) == (r.n, r.converged, r.iterations)
+                assert np.allclose(got[g].shares, r.shares, atol=1e-9, equal_nan=True)
+
+
 def ordinal_nll(form, k, x, z, y):
     def f(b):
         th = b[:k - 1]

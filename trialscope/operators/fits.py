@@ -6,6 +6,9 @@ the groups have left, their rows leave the data too, so late rounds read only wh
 to distinct rows with weights, partial sums are taken before the shuffle, and states are broadcast only where the number
 of open groups, counted every round, is bounded; so a group of a third of all rows costs partial sums, not a task.
 
+Mixture shares (H12) of a group of few distinct rows need no rounds of Spark: the group's rows are brought together once and
+fitted in their task.
+
 Newton fits (``newton``) halve a step that lowers the likelihood; EM fits (``squarem``) extrapolate two EM steps and fall
 back to the plain step where that lowers it.
 """
@@ -16,8 +19,11 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trialscope.functions.normal import LOGIT_075, norm_logpdf, plogis, pnorm, softplus
 from trialscope.session import cut_lineage
@@ -25,6 +31,9 @@ from trialscope.session import cut_lineage
 ROUNDS = 200
 #: states are broadcast up to so many open groups (some 150 bytes each)
 BROADCAST_GROUPS = 50_000
+#: mixture shares of groups of at most so many distinct rows are fitted within a task, which takes groups of some so many rows in all
+LOCAL_ROWS = 4_096
+TASK_ROWS = 50_000
 TINY = 1e-300
 SQRT_2PI = math.sqrt(2 * math.pi)
 
@@ -290,40 +299,121 @@ def mixture_fit(df: DataFrame, keys: Sequence[str], y: str = "lo_p_sup", x: str
 
 
 # H12 -----------------------------------------------------------------------
+def _local_shares(groups: pa.Table, k: int, strength: float, rounds: int, tol: float) -> pa.Table:
+    """``squarem`` of the shares for all groups of a task at once. ``groups``: keys, ``_rows`` (each _ll, _w), ``_n`` and maybe ``_prior``."""
+    packed = groups["_rows"].combine_chunks()
+    flat = packed.flatten()
+    values = flat.field("_ll").flatten()
+    fit = ~pc.is_null(values).to_numpy(zero_copy_only=False).reshape(-1, k).any(axis=1)  # sums pass over rows with a NULL
+    ll, w = values.to_numpy(zero_copy_only=False).reshape(-1, k)[fit], flat.field("_w").to_numpy()[fit]
+    sizes = np.bincount(np.repeat(np.arange(len(packed)), packed.value_lengths().to_numpy())[fit], minlength=len(packed))
+    prior = np.zeros((len(packed), k))
+    if "_prior" in groups.column_names:
+        prior = groups["_prior"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, k) * strength
+    n = groups["_n"].to_numpy() + (strength if "_prior" in groups.column_names else 0.0)
+    state, done, took = np.full((len(packed), k), 1.0 / k), np.zeros(len(packed), dtype=bool), np.zeros(len(packed), dtype=np.int32)
+    open_, x = np.arange(len(packed)), state.copy()
+    x0, x1, ll0 = x, x, np.full(len(packed), -np.inf)
+    with np.errstate(all="ignore"):
+        for turn in range(rounds):
+            if not len(open_):
+                break
+            g, filled = np.repeat(np.arange(len(open_)), sizes), sizes > 0
+            e = np.log(x)[g] + ll
+            top = e.max(axis=1, initial=-np.inf)
+            e = np.exp(e - top[:, None])
+            total = e.sum(axis=1)
+            cuts = (np.cumsum(sizes) - sizes)[filled]
+            r, like = np.zeros_like(x), np.full(len(open_), np.nan)
+            if len(cuts):
+                r[filled] = np.add.reduceat(e * (w / total)[:, None], cuts)
+                like[filled] = np.add.reduceat(w * (top + np.log(total)), cuts)
+            like += (prior * np.log(x)).sum(axis=1)
+            step = np.where(filled[:, None], np.maximum((r + prior) / n[:, None], 1e-12), 1e-12)
+            change = np.abs(x - step).max(axis=1)
+            if turn % 3 == 0:
+                x0, x1, ll0, new = x, step, like, step
+            elif turn % 3 == 1:
+                r, v = x1 - x0, step - x1 - (x1 - x0)
+                still = ~(np.linalg.norm(v, axis=1) > 0)
+                alpha = np.maximum(np.where(still, 1.0, np.linalg.norm(r, axis=1) / np.linalg.norm(v, axis=1)), 1.0)[:, None]
+                leap = np.maximum(x0 + 2 * alpha * r + alpha * alpha * v, 1e-12)
+                stay = still | np.isnan(leap).any(axis=1)
+                x1, new = step, np.where(stay[:, None], step, leap / leap.sum(axis=1, keepdims=True))
+            else:
+                change = np.ones(len(open_))
+                new = np.where((like >= ll0 - 1e-11 * (1 + np.abs(ll0)))[:, None], step, x1)
+            x = np.where((change <= tol)[:, None], step, new)
+            state[open_], done[open_], took[open_] = x, change <= tol, turn + 1
+            go = change > tol
+            if not go.all():
+                rows = np.repeat(go, sizes)
+                ll, w, sizes, prior, n, open_ = ll[rows], w[rows], sizes[go], prior[go], n[go], open_[go]
+                x, x0, x1, ll0 = x[go], x0[go], x1[go], ll0[go]
+    out = groups.drop_columns([c for c in ("_t", "_rows", "_prior") if c in groups.column_names])
+    shares = pa.ListArray.from_arrays(pa.array(np.arange(len(packed) + 1, dtype=np.int32) * k), pa.array(state.ravel()))
+    return out.append_column("state", shares).append_column("converged", pa.array(done)).append_column("iterations", pa.array(took))
+
+
 def mixture_shares(data: DataFrame, keys: Sequence[str], k: int, ll: str = "ll", weight: str = "_w", toward: Column | None = None,
                    strength: float = 0.0, iters: int = ROUNDS, tol: float = 1e-7) -> DataFrame:
     """Shares of ``k`` fixed components per group, by EM on rows that hold all log likelihoods of a trial in one array.
 
-    A step is one aggregate: the responsibilities of a row are computed in the row and summed by component. ``strength``
-    trials are added in the shares ``toward`` (an array column or literal), which draws groups of few trials to them.
+    Groups of up to ``LOCAL_ROWS`` rows are fitted in the task that holds them. For larger ones a step is one aggregate: the
+    responsibilities of a row are computed in the row and summed by component. ``strength`` trials are added in the shares
+    ``toward`` (an array column or literal), which draws groups of few trials to them.
     Returns keys, ``shares``, ``n``, ``converged``, ``iterations``.
     """
     keys = list(keys)
-    inf = float("-inf")
     data = data.select(*keys, F.col(ll).alias("_ll"), F.col(weight).alias("_w"), *([] if toward is None else [toward.alias("_to")]))
-    start = data.groupBy(*keys).agg(*([] if toward is None else [F.first("_to").alias("_prior")]), F.sum("_w").alias("_n"))
+    start = data.groupBy(*keys).agg(*([] if toward is None else [F.first("_to").alias("_prior")]), F.sum("_w").alias("_n"),
+                                    F.count(F.lit(1)).alias("_rows"))
     start = cut_lineage(start.withColumn("state", F.array_repeat(F.lit(1.0 / k), k)))
-    data = data.drop("_to") if toward is not None else data
+    larger = start.where(F.col("_rows") > LOCAL_ROWS).drop("_rows")
+    total, most = start.agg(F.coalesce(F.sum("_rows"), F.lit(0)), F.coalesce(F.max("_rows"), F.lit(0))).first()
+    few, parts = data, []
+    if most > LOCAL_ROWS:
+        large = larger.select(*(F.col(c).alias(f"_of_{c}") for c in keys))
+        same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys))
+        few = data.join(large, same, "left_anti")
+        parts.append(_shares_in_rounds(cut_lineage(data.join(large, same, "left_semi").drop("_to")), keys, larger, k, toward is not None, strength, iters, tol))
+    few = few.groupBy(*keys).agg(F.collect_list(F.struct("_ll", "_w")).alias("_rows"), F.sum("_w").alias("_n"),
+                                 *([] if toward is None else [F.first("_to").alias("_prior")]))
+    fields = [few.schema[c] for c in (*keys, "_n")]
+    schema = T.StructType(fields).add("state", T.ArrayType(T.DoubleType())).add("converged", T.BooleanType()).add("iterations", T.IntegerType())
+
+    def fit(groups: pa.Table) -> pa.Table:
+        return _local_shares(groups, k, strength, iters, tol)
+
+    tasks = F.lit(max(1, -(-total // TASK_ROWS)))
+    parts.append(few.withColumn("_t", F.pmod(F.xxhash64(*keys), tasks)).groupBy("_t").applyInArrow(fit, schema))
+    return reduce(DataFrame.unionByName, parts).select(
+        *keys, F.col("state").alias("shares"), F.col("_n").cast("long").alias("n"), "converged", "iterations")
+
+
+def _shares_in_rounds(data: DataFrame, keys: Sequence[str], start: DataFrame, k: int, drawn: bool, strength: float, iters: int,
+                      tol: float) -> DataFrame:
+    """(keys, state, _n, converged, iterations) of the groups of ``start``, a round being one aggregate over their rows."""
     # the array of a row, once, before the sums read its elements
     derive = [{"_lp": _zip(lambda s, x: F.ln(s) + x, F.col("state"), F.col("_ll"))}, {"_top": F.array_max("_lp")},
               {"_e": F.transform("_lp", lambda v: F.exp(v - F.col("_top")))}, {"_total": F.aggregate("_e", F.lit(0.0), lambda s, v: s + v)}]
     sums = {f"r{i}": F.sum(F.col("_w") * F.element_at("_e", i + 1) / F.col("_total")) for i in range(k)}
-    prior = [F.col("_prior")[i] * strength if toward is not None else F.lit(0.0) for i in range(k)]
-    size = F.col("_n") + (strength if toward is not None else 0.0)
+    prior = [F.col("_prior")[i] * strength if drawn else F.lit(0.0) for i in range(k)]
+    size = F.col("_n") + (strength if drawn else 0.0)
     em = F.array(*(F.greatest((F.col(f"r{i}") + prior[i]) / size, F.lit(1e-12)) for i in range(k)))
     loglik = F.sum(F.col("_w") * (F.col("_top") + F.ln("_total")))
-    if toward is not None:  # the prior's part is the same for all rows of a group
+    if drawn:  # the prior's part is the same for all rows of a group
         part = _zip(lambda p, s: p * strength * F.ln(s), F.col("_prior"), F.col("state"))
         derive.append({"_part": F.aggregate(part, F.lit(0.0), lambda s, v: s + v)})
         loglik = loglik + F.first("_part")
-    held = ["_n"] + (["_prior"] if toward is not None else [])
+    held = ["_n"] + (["_prior"] if drawn else [])
 
     def proper(x: Column) -> Column:
         x = F.transform(x, lambda v: F.greatest(v, F.lit(1e-12)))
         return F.transform(x, lambda v: v / F.aggregate(x, F.lit(0.0), lambda s, u: s + u))
 
     out = squarem(data, keys, start, sums, em, loglik, tol, iters, proper, held, derive)
-    return out.select(*keys, F.col("state").alias("shares"), F.col("_n").cast("long").alias("n"), "converged", "iterations")
+    return out.select(*keys, "_n", "state", "converged", "iterations")
 
 
 def heuristic_shares(trials: DataFrame, heuristics: DataFrame, cell: Sequence[str], worker: str = "worker_id", answer: str = "answer",
@@ -342,7 +432,8 @@ def heuristic_shares(trials: DataFrame, heuristics: DataFrame, cell: Sequence[st
         F.count(F.lit(1)).cast("double").alias("_w"))
     rows = rows.join(cells, list(cell)).select(worker, "_w", F.transform("_h.estimate", lambda e: norm_logpdf(F.col("_a"), e, sigma)).alias("ll"))
     rows = cut_lineage(rows.groupBy(worker, "ll").agg(F.sum("_w").alias("_w")))
-    every = mixture_shares(rows.withColumn("_g", F.lit(0)), ["_g"], k, tol=tol)
+    distinct = rows.groupBy("ll").agg(F.sum("_w").alias("_w"))
+    every = mixture_shares(distinct.withColumn("_g", F.lit(0)), ["_g"], k, tol=tol)
     every = cut_lineage(every.select(F.lit("overall").alias("level"), F.lit(None).cast(rows.schema[worker].dataType).alias(worker),
                                      "shares", "n", "converged", "iterations"))
     toward = every.select("shares").scalar()
