@@ -330,6 +330,21 @@ def test_neighbours_beyond_the_sample_are_introduced_later(spark, monkeypatch):
     assert len(near & set(zip(graph.a, graph.b))) >= 0.98 * len(near)
 
 
+def test_a_task_offers_each_pair_once_and_the_nearest_only(spark):
+    x = [0.0, 1.0, 3.0, 7.0, 15.0]
+    sets = [(1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (2, 3), (3, 4)]
+    rows = pa.table({"s": [s for s, _ in sets], "node": [n for _, n in sets], "v": [[x[n]] for _, n in sets],
+                     "far": [float("inf")] * 7, "new": [True] * 7})
+    got = nn_descent._meet(rows, "s", 2).to_pylist()
+    assert [(r["a"], r["b"], r["d"]) for r in got] == [(0, 1, 1.0), (0, 2, 3.0), (1, 0, 1.0), (1, 2, 2.0), (2, 1, 2.0), (2, 0, 3.0), (3, 1, 6.0), (3, 0, 7.0)]
+    assert nn_descent._meet(rows.slice(6), "s", 2).num_rows == 0
+    graph = spark.createDataFrame([(1, 2, 0.5, True, False), (2, 1, 0.5, False, False), (3, 2, 0.7, False, False)],
+                                  "a long, b long, d double, at_a boolean, at_b boolean").repartition(3)
+    ranked = nn_descent._ranked(graph)
+    assert sorted((r.m, r.node, r.own, r.new, r.r, r.news, r.olds) for r in ranked.collect()) == [
+        (1, 2, True, False, 1, 0, 1), (2, 1, True, False, 1, 0, 2), (2, 3, False, False, 2, 0, 2), (3, 2, True, False, 1, 0, 1)]
+
+
 @pytest.mark.parametrize("size", [8 << 20, 60_000])
 def test_deleted_interpolation(spark, groups_of, size):
     groups_of(size)
