@@ -109,6 +109,26 @@ def test_suffix_array_whatever_order_a_round_brings_its_rows():
     assert not wrong
 
 
+def test_suffix_array_query_cuts_at_400_bytes(spark, tmp_path):
+    """A passage of 55 words that two documents share goes if it has 400 bytes (399 characters here) and stays if it has 399."""
+    from trialscope.llm import queries
+    rnd = random.Random(31)
+    letters = lambda n: "".join(rnd.choices("abcdefgh", k=n))
+    rows, want = [], set()
+    for size, removed in ((399, 0), (400, 400)):
+        p = "é" + " ".join(letters(6) for _ in range(55))
+        p += "x" * (size - len(p.encode()))
+        assert len(p.split()) == 55
+        for around in ("AB", "CD"):
+            head, tail = letters(rnd.randrange(900)) + around[0], around[1] + letters(rnd.randrange(900))
+            raw = (head + tail if removed else head + p + tail).encode()
+            want.add((len(rows), len((head + p + tail).encode()), removed, removed // 400, hashlib.sha256(raw).hexdigest()))
+            rows.append((len(rows), head + p + tail))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op1_suffix_array_dedup(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want and len(got) == len(rows)
+
+
 def test_difference_covers():
     for v, cover in substring_array.COVERS.items():
         assert {(a - b) % v for a in cover for b in cover} == set(range(v))
