@@ -3,10 +3,14 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from trialscope.functions.md5_noise import md5_normals, names
-from trialscope.functions.normal import norm_logpdf
+from trialscope.functions.normal import norm_logpdf, plogis
+from trialscope.operators import blocks
+from trialscope.operators import clean as B
 from trialscope.operators import draws as G
-from trialscope.plans import ORACLE
-from trialscope.plans.q_draws import patterns
+from trialscope.plans import ORACLE, QUERIES
+from trialscope.plans.q_draws import cell, patterns, unfold
+
+from .conftest import SMALL
 
 
 def test_md5_noise_of_arrays_equals_that_of_rows(spark):
@@ -54,3 +58,50 @@ def test_pairs_are_spread_over_tasks(spark, monkeypatch):
     coefs = G.chunked(G.cell_coefficients(draws))
     monkeypatch.setattr(G, "PAIRS", 2048)  # two trials by a chunk
     assert G.spread(trials, coefs, "event_id").rdd.getNumPartitions() == 36
+
+
+def _odd(spark):
+    """Trials with repeated and null keys, a null truth and answer, a cell of one trial; draws without a vector, an id or a term."""
+    trials, draws = _trials(spark)
+    more = spark.createDataFrame([(None, "HOPs", 5, True, 0.5, 0.25), (-7, "HOPs", 5, True, 0.5, None), (10 ** 12, "QDPs", 5, False, 1.5, 0.0),
+                                  (90, None, 5, True, 0.5, 0.25)], trials.schema)
+    part = [None if i == 17 else 0.1 * i for i in range(32)]
+    return trials.union(more), draws.union(spark.createDataFrame([(None, part), (5, part), (41, part)], draws.schema))
+
+
+def test_blocks_give_the_loo_pit_of_rows(spark, monkeypatch):
+    trials, draws = _odd(spark)
+    monkeypatch.setattr(blocks, "TRIALS", 3)
+    monkeypatch.setattr(blocks, "TILE", 50)
+    monkeypatch.setattr(G, "CHUNK", 16)
+    coefs = G.chunked(G.cell_coefficients(draws))
+    assert coefs[1] > 1
+    ll, of = patterns(trials, coefs)
+    m = trials.join(of.join(G.loo_stats(ll, ["pattern"]), "pattern").drop("pattern"), "event_id")
+    want = {r.event_id: r.loo_pit for r in G.loo_share(unfold(m, coefs), ["event_id"], "lo_p_sup").collect()}
+    got = {r.event_id: r.loo_pit for r in G.loo_share(unfold(m, coefs, packed=True), ["event_id"], "lo_p_sup").collect()}
+    assert len(want) >= 62 and got.keys() == want.keys()
+    assert np.allclose([got[k] for k in want], [want[k] for k in want], rtol=0, atol=1e-10)
+
+
+def test_blocks_give_the_tally_of_rows(spark, monkeypatch):
+    trials, draws = _odd(spark)
+    monkeypatch.setattr(blocks, "TRIALS", 3)
+    monkeypatch.setattr(blocks, "LARGE_TILE", 50)
+    monkeypatch.setattr(blocks, "HELD", 2)
+    monkeypatch.setattr(G, "CHUNK", 16)
+    coefs = G.chunked(G.cell_coefficients(draws))
+    rows = G.predicted_draws(G.fitted_by_cell(trials, coefs, cell(), "lo_ground_truth", value="mu"), ["event_id"], 1.0, value="mu", noise=G.md5_normal)
+    want = {(r.draw, r.category): r.n for r in G.tally_predictions(rows, B.ordinal_bet(plogis("prediction") * 1000)).collect()}
+    packed = G.fitted_by_cell(trials, coefs, cell(), "lo_ground_truth", value="mu", packed=True)
+    packed = G.predicted_draws(packed, ["event_id"], 1.0, value="mu", noise=G.md5_normal)
+    got = {(r.draw, r.category): r.n for r in G.tally_predictions(packed, lambda p: B.ordinal_bet(plogis(p["prediction"]) * 1000)).collect()}
+    assert got == want and any(c is None for _, c in want) and any(d is None for d, _ in want)
+
+
+def test_pairs_neither_become_rows_nor_wait_for_python(spark):
+    """Before, each trial waited beside the names of a chunk's draws in a queue that goes to disk, and every pair was a row."""
+    for name in ("G19_loo_pit", "G21_tally_predictions"):
+        plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" not in plan and "explode(draws" not in plan and "explode(arrays_zip" not in plan, name
+        assert plan.count("MapInArrow") == 2, name
