@@ -79,3 +79,14 @@ def test_manifest_of_clashing_names(spark):
     docs, rows = clashing(spark)
     out = merkle.proofs(merkle.manifest(docs, ["doc_id", "text"], "source", "doc_id")).collect()
     assert len(out) == len(rows) and all(r.verified for r in out)
+
+
+def test_the_planners_estimate_does_not_grow_with_the_rounds(spark):
+    """A checkpoint hands its plan's estimate on and a join multiplies: the digits doubled every round of the graph, in the driver."""
+    rows = spark.range(20).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    said = set()
+    for _ in range(6):
+        rows = nn_descent.cut(rows.join(rows.select(F.col("a").alias("b"), F.col("b").alias("c")), "b", "left").select("a", "b").distinct())
+        said.add(rows._jdf.queryExecution().optimizedPlan().stats().simpleString())
+    assert len(said) == 1 and "E+" not in said.pop()
+    assert rows.count() == 20 and rows.schema.names == ["a", "b"] and {(r.a, r.b) for r in rows.collect()} == {(i, i + 1) for i in range(20)}
